@@ -20,28 +20,22 @@ def column_name_tokens(name: Column) -> Column:
     return tokenize(F.translate(name, "_", " "))
 
 
-def _mentions_any(text: Column, phrases: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for phrase in phrases:
-        found = found | text.contains(phrase)
-    return found
+def _mentions_any(question: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether any phrase occurs as a substring: one scan of the text for all of them."""
+    text = F.lower(F.coalesce(question, F.lit("")))
+    return text.rlike("|".join(phrases))
 
 
-def query_mode(question: Column) -> Column:
-    """Mode of a question, by plain substring tests (so ``country`` contains ``count``)."""
-    text = F.lower(F.coalesce(question, F.lit("")))
-    broad = _mentions_any(text, fv.BROAD_PROFILE_HINTS)
-    aggregate = _mentions_any(text, fv.AGGREGATE_HINTS)
-    return (
-        F.when(broad & aggregate, fv.MODE_BROAD_AGGREGATE)
-        .when(broad, fv.MODE_BROAD)
-        .when(aggregate, fv.MODE_AGGREGATE)
-        .otherwise(fv.MODE_FOCUSED)
-    )
+def is_broad(question: Column) -> Column:
+    return _mentions_any(question, fv.BROAD_PROFILE_HINTS)
 
 
-def is_broad_mode(mode: Column) -> Column:
-    return mode.isin(fv.MODE_BROAD, fv.MODE_BROAD_AGGREGATE)
+def query_mode(question: Column) -> Column:
+    """Mode of a question, by plain substring tests (so ``country`` contains ``count``)."""
+    aggregate = _mentions_any(question, fv.AGGREGATE_HINTS)
+    return F.when(
+        is_broad(question), F.when(aggregate, fv.MODE_BROAD_AGGREGATE).otherwise(fv.MODE_BROAD)
+    ).otherwise(F.when(aggregate, fv.MODE_AGGREGATE).otherwise(fv.MODE_FOCUSED))
 
 
 def dataset_description(dataset_name: Column, description: Column, num_rows: Column, num_columns: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
 from tabquest.functions.names import normalize_name
-from tabquest.functions.text import column_name_tokens, is_broad_mode, query_mode, tokenize
+from tabquest.functions.text import column_name_tokens, is_broad, query_mode, tokenize
 
 
 def column_tokens(catalog: DataFrame) -> DataFrame:
@@ -157,8 +157,8 @@ def context_columns(
     identifiers and then ranked columns, up to the limit.
     """
     asked = questions.withColumn("mode", query_mode(F.col("question")))
-    broad = asked.filter(is_broad_mode(F.col("mode")))
-    narrow = asked.filter(~is_broad_mode(F.col("mode")))
+    broad = asked.filter(is_broad(F.col("question")))
+    narrow = asked.filter(~is_broad(F.col("question")))
     identifiers = identifier_columns(catalog).select("table_name", "column_name", F.col("ordinal").alias("position"))
     every_column = catalog.select("table_name", "column_name", F.col("ordinal").alias("position"))
 

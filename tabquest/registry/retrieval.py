@@ -194,7 +194,7 @@ def embed_documents(spark, sf_dir):
 
 RETRIEVED_SQL = f"""{QUESTIONS_SQL}, {PROFILE_SQL},
 records AS (SELECT *, regexp_extract(file_path, '([^/]*)[.]csv$', 1) AS record_id FROM profile),
-{tokens_sql('at', 'questions', 'question_id', 'question')}, {weights_sql('aw', 'at', 'question_id')},
+{tokens_sql('atok', 'questions', 'question_id', 'question')}, {weights_sql('aw', 'atok', 'question_id')},
 {tokens_sql('rt', 'records', 'record_id', 'embedding_text')}, {weights_sql('rw', 'rt', 'record_id')},
 dots AS (SELECT question_id, record_id, sum(aw.weight * rw.weight) AS dot FROM aw JOIN rw USING (bucket) GROUP BY 1, 2),
 near AS (SELECT q.question_id, r.record_id, round(1 - coalesce(dot, 0), 6) + 0.0 AS distance
