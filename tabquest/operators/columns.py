@@ -2,14 +2,15 @@
 
 Questions are rows ``(question_id, table_name, question)`` and the catalog has
 one row ``(table_name, ordinal, column_name, data_type)`` per column, ordinals
-counting from 1.  The matching of question words with column words is a
-substring match in both directions.  It is written as equi-joins on pieces of
-words, so no task ever sees all pairs of a table's words and questions.
+counting from 1.  The catalog is folded to one row per table, as wide as the
+table; a question meets exactly the row of its own table.  Scoring, ranking and
+merging then happen inside the question's row, so questions are neither
+exploded nor shuffled, and many questions about one table make no hot group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
@@ -29,152 +30,150 @@ def token_frequency(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("table_name", "token").agg(F.count("*").alias("frequency"))
 
 
-def _pieces(word: Column, longest: Column) -> Column:
-    """Distinct substrings of 2 up to ``longest`` characters."""
-    by_length = F.transform(
-        F.sequence(F.lit(2), F.least(F.length(word), longest)),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)
-        ),
+def merge_columns(primary: Column, secondary: Column, limit: int | None = None) -> Column:
+    """Ordered union of two lists of columns, repeats by exact name dropped.
+
+    The limit is tested after a column was added, so a limit of zero still gives one.
+    """
+    both = F.concat(primary, secondary)
+    names = F.transform(both, lambda c: c["name"])
+    merged = F.filter(both, lambda c, i: F.array_position(names, c["name"]) == i + 1)
+    return merged if limit is None else F.slice(merged, 1, max(limit, 1))
+
+
+def _shown(columns: Column) -> Column:
+    return F.transform(columns, lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type")))
+
+
+def table_schemas(catalog: DataFrame) -> DataFrame:
+    """One row per table: its ordered columns and what ranking needs of them.
+
+    ``columns`` holds ordinal, name, type, tokens and the identifier mark,
+    ``frequency`` the number of columns per token, ``identifiers`` the
+    identifier columns (the first column where there is none), and
+    ``broad_columns`` identifiers followed by the rest.
+    """
+    column = F.struct(
+        "ordinal",
+        F.col("column_name").alias("name"),
+        F.col("data_type").alias("type"),
+        column_name_tokens(F.col("column_name")).alias("tokens"),
+        normalize_name(F.col("column_name")).isin(*fv.IDENTIFIER_COLUMN_NAMES).alias("is_identifier"),
+    )
+    tokens = F.flatten(F.transform("columns", lambda c: c["tokens"]))
+    marked = F.filter("columns", lambda c: c["is_identifier"])
+    return (
+        catalog.groupBy("table_name")
+        .agg(F.array_sort(F.collect_list(column)).alias("columns"))  # as many as the table is wide
+        .withColumn("tokens", tokens)
+        .withColumn(
+            "frequency",
+            F.transform(
+                F.array_distinct("tokens"),
+                lambda t: F.struct(t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("columns")),
+            ),
+        )
+        .withColumn("identifiers", F.when(F.size(marked) > 0, marked).otherwise(F.slice("columns", 1, 1)))
+        .select(
+            "table_name",
+            "columns",
+            F.map_from_entries("frequency").alias("frequency"),
+            _shown(F.col("identifiers")).alias("identifiers"),
+            merge_columns(_shown(F.col("identifiers")), _shown(F.col("columns"))).alias("broad_columns"),
+        )
     )
-    return F.array_distinct(F.flatten(by_length))
 
 
-def score_columns(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Score of every column that shares a word, or part of one, with its question.
+def column_scores(question: Column, columns: Column, frequency: Column) -> Column:
+    """Score of every column of the list for a question, in list order.
 
     A question word that is a column word adds 25 divided by the word's
     frequency in the table; a word that only contains, or is contained in, a
-    column word adds 1 divided by it.  Columns without any match do not appear.
+    column word adds 1 divided by it.
     """
-    words = questions.select(
-        "question_id", "table_name", F.explode(tokenize(F.col("question"))).alias("word")
+    words = F.transform(
+        tokenize(question),
+        lambda w: F.struct(
+            w.alias("word"), F.coalesce(F.try_element_at(frequency, w), F.lit(1)).cast("double").alias("spread")
+        ),
     )
-    tokens = column_tokens(catalog)
-    frequency = token_frequency(tokens)
-    asked = words.select("table_name", "word").distinct()
-
-    # A column word holds the question word: compare the question word with the
-    # column word's pieces.  Column names are short, so the pieces are few.
-    holds = (
-        frequency.select(
-            "table_name", "token", F.explode(_pieces(F.col("token"), F.length("token"))).alias("word")
+
+    def gain(column: Column, word: Column) -> Column:
+        partial = F.exists(
+            column["tokens"], lambda t: t.contains(word["word"]) | word["word"].contains(t)
         )
-        .join(asked, ["table_name", "word"])
-        .select("table_name", "word", "token")
-    )
-    # A question word holds the column word: only pieces as long as some column
-    # word of that table can match, which keeps long words linear.
-    longest = frequency.groupBy("table_name").agg(F.max(F.length("token")).alias("longest"))
-    held = (
-        asked.join(longest, "table_name")
-        .select("table_name", "word", F.explode(_pieces(F.col("word"), F.col("longest"))).alias("token"))
-        .join(frequency.select("table_name", "token"), ["table_name", "token"])
-        .select("table_name", "word", "token")
-    )
-    matched = (
-        holds.union(held)
-        .join(tokens, ["table_name", "token"])
-        .groupBy("table_name", "word", "ordinal")
-        .agg(F.max(F.col("word") == F.col("token")).alias("exact"))
-    )
-    weights = matched.join(
-        frequency.withColumnRenamed("token", "word"), ["table_name", "word"], "left"
-    ).select(
-        "table_name",
-        "word",
-        "ordinal",
-        (
-            F.when(F.col("exact"), fv.EXACT_TOKEN_WEIGHT).otherwise(fv.PARTIAL_TOKEN_WEIGHT)
-            / F.coalesce("frequency", F.lit(1))
-        ).alias("weight"),
+        return (
+            F.when(F.array_contains(column["tokens"], word["word"]), fv.EXACT_TOKEN_WEIGHT / word["spread"])
+            .when(partial, fv.PARTIAL_TOKEN_WEIGHT / word["spread"])
+            .otherwise(0.0)
+        )
+
+    return F.transform(
+        columns, lambda c: F.round(F.aggregate(words, F.lit(0.0), lambda total, w: total + gain(c, w)), 9)
     )
-    return (
-        words.join(weights, ["table_name", "word"])
-        .groupBy("question_id", "table_name", "ordinal")
-        .agg(F.round(F.sum("weight"), 9).alias("score"))
+
+
+def ranked_columns(question: Column, columns: Column, frequency: Column, top_columns: int) -> Column:
+    """The best columns of the list: by score, then in table order."""
+    scored = F.zip_with(
+        columns,
+        column_scores(question, columns, frequency),
+        lambda c, score: F.struct(
+            (-score).alias("order"), c["ordinal"].alias("ordinal"), c["name"].alias("name"),
+            c["type"].alias("type"), score.alias("score"),
+        ),
     )
+    return F.slice(F.array_sort(scored), 1, top_columns)
 
 
-def rank_columns(questions: DataFrame, catalog: DataFrame, top_columns: int = fv.DEFAULT_TOP_COLUMNS) -> DataFrame:
-    """The best columns per question: by score, then in table order.
+def with_schemas(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Questions with the schema row of their table; an unknown table fails the job.
 
-    Columns without a score only fill up, in table order, so at most the first
-    ``top_columns`` columns of a table can be needed for that.
+    Spark broadcasts the schemas while they are small; beyond that the join is
+    shuffled and AQE splits a table that most questions ask about.
     """
-    scored = score_columns(questions, catalog)
-    filling = questions.select("question_id", "table_name").join(
-        catalog.filter(F.col("ordinal") <= top_columns).select("table_name", "ordinal"), "table_name"
-    )
-    best = (
-        scored.unionByName(filling.withColumn("score", F.lit(0.0)))
-        .groupBy("question_id", "table_name", "ordinal")
-        .agg(F.max("score").alias("score"))
-    )
-    order = Window.partitionBy("question_id", "table_name").orderBy(F.col("score").desc(), "ordinal")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_columns)
+    joined = questions.join(table_schemas(catalog), "table_name", "left")
+    problem = F.raise_error(F.concat(F.lit("Table not found: "), F.col("table_name")))
+    return joined.withColumn("columns", F.when(F.col("columns").isNull(), problem).otherwise(F.col("columns")))
 
 
-def identifier_columns(catalog: DataFrame) -> DataFrame:
-    """Identifier columns of each table; the first column where a table has none."""
-    marked = catalog.withColumn(
-        "is_identifier", normalize_name(F.col("column_name")).isin(*fv.IDENTIFIER_COLUMN_NAMES)
+def score_columns(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Scores above zero in long form: ``(question_id, table_name, ordinal, score)``."""
+    scores = column_scores(F.col("question"), F.col("columns"), F.col("frequency"))
+    return (
+        with_schemas(questions, catalog)
+        .select("question_id", "table_name", F.posexplode(scores).alias("place", "score"))
+        .filter("score > 0")
+        .select("question_id", "table_name", (F.col("place") + 1).alias("ordinal"), "score")
     )
-    with_any = marked.groupBy("table_name").agg(F.max("is_identifier").alias("has_identifier"))
+
+
+def rank_columns(questions: DataFrame, catalog: DataFrame, top_columns: int = fv.DEFAULT_TOP_COLUMNS) -> DataFrame:
+    """The best columns per question: ``(question_id, table_name, rank, ordinal, column_name, score)``."""
+    ranked = ranked_columns(F.col("question"), F.col("columns"), F.col("frequency"), top_columns)
     return (
-        marked.join(with_any, "table_name")
-        .filter(F.col("is_identifier") | (~F.col("has_identifier") & (F.col("ordinal") == 1)))
-        .select(*catalog.columns)
+        with_schemas(questions, catalog)
+        .select("question_id", "table_name", F.posexplode(ranked).alias("place", "c"))
+        .select(
+            "question_id", "table_name", (F.col("place") + 1).alias("rank"), "c.ordinal",
+            F.col("c.name").alias("column_name"), "c.score",
+        )
     )
 
 
-def merge_columns(groups: list[DataFrame], keys: list[str], name: str, limit: int | None = None) -> DataFrame:
-    """Ordered union of lists: earlier groups first, repeats by exact name dropped.
+def select_columns(questions: DataFrame, catalog: DataFrame, top_columns: int = fv.DEFAULT_TOP_COLUMNS) -> DataFrame:
+    """Add ``query_mode``, ``column_count`` and ``selected_columns`` to every question.
 
-    Each group has the columns ``keys``, ``name`` and ``position``.  The limit is
-    tested after a name was added, so a limit of zero still gives one name.
+    Broad questions get identifiers and then the whole table, a list that is
+    made once per table.  Other questions get identifiers and then ranked
+    columns, up to the limit.
     """
-    ranked = [
-        g.select(*keys, name, F.struct(F.lit(i).alias("source"), F.col("position")).alias("place"))
-        for i, g in enumerate(groups)
-    ]
-    merged = ranked[0]
-    for more in ranked[1:]:
-        merged = merged.unionByName(more)
-    first = merged.groupBy(*keys, name).agg(F.min("place").alias("place"))
-    order = Window.partitionBy(*keys).orderBy("place")
-    numbered = first.withColumn("position", F.row_number().over(order)).drop("place")
-    return numbered if limit is None else numbered.filter(F.col("position") <= max(limit, 1))
-
-
-def context_columns(
-    questions: DataFrame, catalog: DataFrame, top_columns: int = fv.DEFAULT_TOP_COLUMNS
-) -> DataFrame:
-    """Columns to offer for each question: ``(question_id, table_name, mode, position, column_name, data_type)``.
-
-    Broad questions get identifiers and then the whole table, which depends on
-    the table alone and is therefore listed once per table.  Other questions get
-    identifiers and then ranked columns, up to the limit.
-    """
-    asked = questions.withColumn("mode", query_mode(F.col("question")))
-    broad = asked.filter(is_broad(F.col("question")))
-    narrow = asked.filter(~is_broad(F.col("question")))
-    identifiers = identifier_columns(catalog).select("table_name", "column_name", F.col("ordinal").alias("position"))
-    every_column = catalog.select("table_name", "column_name", F.col("ordinal").alias("position"))
-
-    per_table = merge_columns([identifiers, every_column], ["table_name"], "column_name")
-    for_broad = broad.select("question_id", "table_name", "mode").join(per_table, "table_name")
-
-    keys = ["question_id", "table_name", "mode"]
-    named = catalog.select("table_name", "ordinal", "column_name")
-    ranked = (
-        rank_columns(narrow, catalog, top_columns)
-        .join(named, ["table_name", "ordinal"])
-        .join(narrow.select(*keys), ["question_id", "table_name"])
-        .select(*keys, "column_name", F.col("rank").alias("position"))
-    )
-    first = narrow.select(*keys).join(identifiers, "table_name")
-    for_narrow = merge_columns([first, ranked], keys, "column_name", top_columns)
-    return for_broad.unionByName(for_narrow).join(
-        catalog.select("table_name", "column_name", "data_type"), ["table_name", "column_name"]
+    ranked = _shown(ranked_columns(F.col("question"), F.col("columns"), F.col("frequency"), top_columns))
+    narrow = merge_columns(F.col("identifiers"), ranked, top_columns)
+    selected = F.when(is_broad(F.col("question")), F.col("broad_columns")).otherwise(narrow)
+    return with_schemas(questions, catalog).select(
+        *questions.columns,
+        query_mode(F.col("question")).alias("query_mode"),
+        F.size("columns").cast("long").alias("column_count"),
+        selected.alias("selected_columns"),
     )

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
 from tabquest.functions.names import strip, table_name_of
-from tabquest.functions.text import query_mode
 from tabquest.functions.vectors import Encoder
 from tabquest.operators import lookups
 from tabquest.operators.audit import analyse, audit, generated_problem
-from tabquest.operators.columns import context_columns
+from tabquest.operators.columns import select_columns
 from tabquest.operators.metrics import build_records
 from tabquest.operators.similarity import top_k
 from tabquest.plans.embed import embed
@@ -64,33 +63,14 @@ def enrich(retrieved: DataFrame, manifest: DataFrame, metadata: DataFrame, catal
 def prepare_contexts(
     questions: DataFrame, catalog: DataFrame, top_columns: int = fv.DEFAULT_TOP_COLUMNS
 ) -> DataFrame:
-    """Mode, counts and selected columns for rows ``(question_id, question, table_name)``.
+    """Add mode, counts and selected columns to rows with ``question`` and ``table_name``.
 
     A blank question fails the job.
     """
     problem = F.raise_error(F.lit("Question is required.")).cast("string")
-    asked = questions.select(
-        "question_id",
-        "table_name",
-        F.when(strip(F.coalesce("question", F.lit(""))) == "", problem).otherwise(F.col("question")).alias("question"),
-    ).dropDuplicates(["question_id", "table_name"])
-    column = F.struct("position", F.col("column_name").alias("name"), F.col("data_type").alias("type"))
-    chosen = (
-        context_columns(asked, catalog, top_columns)
-        .groupBy("question_id", "table_name")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(column)),
-                lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type")),
-            ).alias("selected_columns")
-        )
-    )
-    widths = catalog.groupBy("table_name").agg(F.count("*").alias("column_count"))
-    return (
-        asked.withColumn("query_mode", query_mode(F.col("question")))
-        .join(widths, "table_name")
-        .join(chosen, ["question_id", "table_name"])
-        .withColumn("selected_column_count", F.size("selected_columns").cast("long"))
+    given = F.when(strip(F.coalesce("question", F.lit(""))) == "", problem).otherwise(F.col("question"))
+    return select_columns(questions.withColumn("question", given), catalog, top_columns).withColumn(
+        "selected_column_count", F.size("selected_columns").cast("long")
     )
 
 
@@ -110,17 +90,13 @@ def candidate_contexts(
 
     ``enriched`` holds the question's text and the columns of :func:`enrich`.
     """
-    kept = enriched.filter(F.col("rank") <= candidates)
-    prepared = prepare_contexts(kept, catalog, top_columns).select(
-        "question_id", "table_name", "query_mode", F.col("column_count").alias("width"),
-        "selected_column_count", "selected_columns",
-    )
-    fields = (
-        kept.withColumn("candidate_index", F.col("rank") - 1)
-        .join(prepared, ["question_id", "table_name"])
-        .withColumn("column_count", F.col("width"))
+    kept = (
+        enriched.filter(F.col("rank") <= candidates)
+        .withColumn("candidate_index", F.col("rank") - 1)
+        .drop("column_count")
         .withColumnRenamed("notes", "data_interpretation_notes")
     )
+    fields = prepare_contexts(kept, catalog, top_columns)
     listed = F.array_sort(F.collect_list(F.struct("candidate_index", F.struct(*CANDIDATE_FIELDS).alias("c"))))
     return (
         fields.groupBy("question_id", "question")

@@ -26,7 +26,7 @@ from tabquest.registry.common import (
 )
 from tabquest.registry.tables import PROFILE_SQL, profiles
 from tabquest.registry.text import SCORES_SQL, _requirements_sql, context_sql
-from tabquest.session import configure, work_dir
+from tabquest.session import configure, materialise, work_dir
 from tabquest.sources import vector_store
 
 QUERIES, ORACLES = {}, {}
@@ -205,7 +205,7 @@ enriched AS (SELECT f.question_id, f.record_id, f.distance, f.rank, r.dataset_na
 
 
 def _enriched(spark, sf_dir):
-    profiled = profiles(spark, sf_dir)
+    profiled = materialise(profiles(spark, sf_dir), "profiles")
     manifest = given_manifest(spark)
     store = embed(dataset_documents(profiled, manifest), "document")
     asked = questions(spark, sf_dir).select("question_id", "question")

@@ -112,7 +112,8 @@ def ranked_sql(top: int) -> str:
     f"WITH {BASE_SQL}, {ranked_sql(5)} SELECT question_id, table_name, ordinal, score, CAST(rank AS INTEGER) AS rank FROM ranked",
 )
 def ranked_columns(spark, sf_dir):
-    return ops.rank_columns(questions(spark, sf_dir), given_catalog(spark, sf_dir), top_columns=5)
+    ranked = ops.rank_columns(questions(spark, sf_dir), given_catalog(spark, sf_dir), top_columns=5)
+    return ranked.select("question_id", "table_name", "ordinal", "score", "rank")
 
 
 _ID_NAMES = ", ".join(quoted(n) for n in fv.IDENTIFIER_COLUMN_NAMES)
@@ -143,7 +144,13 @@ context AS (SELECT l.*, c.data_type FROM listed l JOIN catalog c USING (table_na
         SELECT question_id, table_name, mode, column_name, data_type, CAST(position AS INTEGER) AS position FROM context""",
 )
 def context_columns(spark, sf_dir):
-    return ops.context_columns(questions(spark, sf_dir), given_catalog(spark, sf_dir), top_columns=4)
+    chosen = ops.select_columns(questions(spark, sf_dir), given_catalog(spark, sf_dir), top_columns=4)
+    return chosen.select(
+        "question_id", "table_name", F.col("query_mode").alias("mode"), F.posexplode("selected_columns").alias("p", "c")
+    ).select(
+        "question_id", "table_name", "mode", F.col("c.name").alias("column_name"),
+        F.col("c.type").alias("data_type"), (F.col("p") + 1).alias("position"),
+    )
 
 
 def _requirements_sql() -> str:
