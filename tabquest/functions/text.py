@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,15 @@ from tabquest import fixed_values as fv
 from tabquest.functions.names import first_non_blank, non_blank, strip
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row.
+
+    A derived array that is used inside another array function would otherwise
+    be computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """Distinct lower-case ``[a-z0-9]+`` runs longer than one character, without stopwords."""
     runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9]+"), F.lit(0))

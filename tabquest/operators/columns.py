@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
 from tabquest.functions.names import normalize_name
-from tabquest.functions.text import column_name_tokens, is_broad, query_mode, tokenize
+from tabquest.functions.text import column_name_tokens, is_broad, let, query_mode, tokenize
 
 
 def column_tokens(catalog: DataFrame) -> DataFrame:
@@ -35,9 +35,13 @@ def merge_columns(primary: Column, secondary: Column, limit: int | None = None)
 
     The limit is tested after a column was added, so a limit of zero still gives one.
     """
-    both = F.concat(primary, secondary)
-    names = F.transform(both, lambda c: c["name"])
-    merged = F.filter(both, lambda c, i: F.array_position(names, c["name"]) == i + 1)
+    def first_of_each(both: Column) -> Column:
+        return let(
+            F.transform(both, lambda c: c["name"]),
+            lambda names: F.filter(both, lambda c, i: F.array_position(names, c["name"]) == i + 1),
+        )
+
+    merged = let(F.concat(primary, secondary), first_of_each)
     return merged if limit is None else F.slice(merged, 1, max(limit, 1))
 
 
@@ -60,24 +64,22 @@ def table_schemas(catalog: DataFrame) -> DataFrame:
         column_name_tokens(F.col("column_name")).alias("tokens"),
         normalize_name(F.col("column_name")).isin(*fv.IDENTIFIER_COLUMN_NAMES).alias("is_identifier"),
     )
-    tokens = F.flatten(F.transform("columns", lambda c: c["tokens"]))
+    frequency = let(
+        F.flatten(F.transform("columns", lambda c: c["tokens"])),
+        lambda tokens: F.transform(
+            F.array_distinct(tokens),
+            lambda t: F.struct(t.alias("token"), F.size(F.filter(tokens, lambda x: x == t)).alias("columns")),
+        ),
+    )
     marked = F.filter("columns", lambda c: c["is_identifier"])
     return (
         catalog.groupBy("table_name")
         .agg(F.array_sort(F.collect_list(column)).alias("columns"))  # as many as the table is wide
-        .withColumn("tokens", tokens)
-        .withColumn(
-            "frequency",
-            F.transform(
-                F.array_distinct("tokens"),
-                lambda t: F.struct(t.alias("token"), F.size(F.filter("tokens", lambda x: x == t)).alias("columns")),
-            ),
-        )
         .withColumn("identifiers", F.when(F.size(marked) > 0, marked).otherwise(F.slice("columns", 1, 1)))
         .select(
             "table_name",
             "columns",
-            F.map_from_entries("frequency").alias("frequency"),
+            F.map_from_entries(frequency).alias("frequency"),
             _shown(F.col("identifiers")).alias("identifiers"),
             merge_columns(_shown(F.col("identifiers")), _shown(F.col("columns"))).alias("broad_columns"),
         )
@@ -108,9 +110,12 @@ def column_scores(question: Column, columns: Column, frequency: Column) -> Colum
             .otherwise(0.0)
         )
 
-    return F.transform(
-        columns, lambda c: F.round(F.aggregate(words, F.lit(0.0), lambda total, w: total + gain(c, w)), 9)
-    )
+    def scores(known: Column) -> Column:
+        return F.transform(
+            columns, lambda c: F.round(F.aggregate(known, F.lit(0.0), lambda total, w: total + gain(c, w)), 9)
+        )
+
+    return let(words, scores)
 
 
 def ranked_columns(question: Column, columns: Column, frequency: Column, top_columns: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
-from tabquest.functions.vectors import filled_positions, hashed_embedding, l2_norm, l2_normalize
+from tabquest.functions.vectors import filled_positions, l2_norm, l2_normalize
 from tabquest.operators import lookups
 from tabquest.operators.audit import generated_problem
 from tabquest.operators.similarity import top_k
@@ -88,8 +88,8 @@ def cosine_topk_cells(spark, sf_dir):
         SELECT doc_id, CAST(bucket AS INTEGER) AS bucket, round(weight, 5) AS weight FROM w""",
 )
 def hash_embed(spark, sf_dir):
-    embedded = table(spark, sf_dir, "documents").select("doc_id", hashed_embedding(F.col("text")).alias("e"))
-    return filled_positions(embedded, "doc_id", "e").withColumn("weight", F.round("weight", 5))
+    embedded = embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return filled_positions(embedded, "doc_id", "embedding").withColumn("weight", F.round("weight", 5))
 
 
 @register(

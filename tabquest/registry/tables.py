@@ -17,7 +17,7 @@ from tabquest.registry.common import (
     COLUMNS,
     TABLES,
     file_path,
-    given_catalog,
+    found_tables,
     given_manifest,
     given_tables,
     manifest_rows,
@@ -26,7 +26,7 @@ from tabquest.registry.common import (
 )
 from tabquest.session import configure, work_dir
 from tabquest.sources.manifest import filter_manifest, manifest_from_rows, read_manifest, split_valid
-from tabquest.sources.tables import import_csv, import_manifest
+from tabquest.sources.tables import import_csv, import_manifest, session_catalog
 
 QUERIES, ORACLES = {}, {}
 
@@ -353,11 +353,18 @@ def sample_rows(spark, sf_dir):
         SELECT table_name, ordinal, column_name, data_type, num_rows FROM catalog JOIN counts USING (table_name)""",
 )
 def catalog_columns(spark, sf_dir):
+    """Columns as the files declare them, found through the session's views, with row counts."""
+    for t, df in found_tables(spark, sf_dir).items():
+        df.createOrReplaceTempView(f"given_{t}")
+    views = {f"given_{t}" for t in TABLES}
+    found = session_catalog(spark).filter(F.col("table_name").isin(*views))
     sizes = [
-        df.agg(F.count("*").alias("num_rows")).select(F.lit(t).alias("table_name"), "num_rows")
-        for t, df in given_tables(spark, sf_dir).items()
+        spark.table(v).agg(F.count("*").alias("num_rows")).select(F.lit(v).alias("table_name"), "num_rows")
+        for v in sorted(views)
     ]
-    return given_catalog(spark, sf_dir).join(reduce(DataFrame.union, sizes), "table_name")
+    return found.join(reduce(DataFrame.union, sizes), "table_name").withColumn(
+        "table_name", F.regexp_replace("table_name", "^given_", "")
+    )
 
 
 # ---- ingest -----------------------------------------------------------------
