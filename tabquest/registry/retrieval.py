@@ -79,7 +79,7 @@ def cosine_topk(spark, sf_dir):
 @register("cosine_topk_cells", _TOPK_SQL)
 def cosine_topk_cells(spark, sf_dir):
     """The same result by the partitioned way, which large inputs take."""
-    return top_k(*_embedded(spark, sf_dir), k=3, max_broadcast_rows=0, block_rows=512, pivots=16)
+    return top_k(*_embedded(spark, sf_dir), k=3, max_broadcast_rows=0)
 
 
 @register(
@@ -109,7 +109,8 @@ def document_search(spark, sf_dir):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
     )
     stored = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vector_id"), "text")
-    found = top_k(embed(asked, "text"), embed(stored, "text"), k=3)
+    vectors = materialise(embed(stored, "text").drop("text"), "document-vectors")
+    found = top_k(embed(asked, "text"), vectors, k=3)
     return found.withColumnRenamed("query_id", "question_id").withColumnRenamed("vector_id", "doc_id")
 
 
