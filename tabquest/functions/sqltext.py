@@ -13,7 +13,8 @@ _FROM_CLAUSE = (
     r"(?siU)\bfrom\b(.*?)(?:\bwhere\b|\bgroup\s+by\b|\border\s+by\b|\blimit\b|\bhaving\b|$)"
 )
 _FROM_TARGET = r'(?iU)\bfrom\s+(?:"([^"]+)"|([a-zA-Z_][a-zA-Z0-9_]*))'
-_SINGLE_QUOTED = r"'[^']*'(?:'[^']*')*"
+_SINGLE_QUOTED = "'[^']*'"
+_QUOTE_PAIRS = "(?:'')+"
 _ANY_QUOTED = r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)"""
 
 
@@ -23,8 +24,13 @@ def normalize_sql(sql: Column) -> Column:
 
 
 def strip_quoted_content(sql: Column) -> Column:
-    """Empty every single-quoted literal; double-quoted identifiers stay."""
-    return F.regexp_replace(sql, _SINGLE_QUOTED, "''")
+    """Empty every single-quoted literal; double-quoted identifiers stay.
+
+    A doubled quote inside a literal first looks like two literals side by side.
+    Both steps work without nested repetition, which Java evaluates recursively.
+    """
+    emptied = F.regexp_replace(sql, _SINGLE_QUOTED, "''")
+    return F.regexp_replace(emptied, _QUOTE_PAIRS, "''")
 
 
 def has_multiple_statements(sql: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
-from tabquest.session import configure
+from tabquest.session import configure, small_table
 from tabquest.sources.manifest import FIELDS
 from tabquest.sources.tables import catalog_of
 
@@ -94,7 +94,7 @@ def manifest_rows() -> list[tuple]:
 def given_manifest(spark: SparkSession) -> DataFrame:
     columns = ["manifest_file", "entry_pos", *FIELDS]
     schema = "manifest_file string, entry_pos int, " + ", ".join(f"{f} string" for f in FIELDS)
-    return spark.createDataFrame([tuple(r[c] for c in columns) for r in manifest_rows()], schema)
+    return small_table(spark, [tuple(r[c] for c in columns) for r in manifest_rows()], schema)
 
 
 def given_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -69,6 +72,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side rows as a table whose size Spark knows, so that it can choose to broadcast it."""
+    target = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [()] * len(target.fields)
+    types = to_arrow_schema(target)
+    arrays = [pa.array(list(values), type=field.type) for values, field in zip(columns, types)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=types), target)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before work that is heavy per row.
 

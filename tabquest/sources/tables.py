@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabquest.functions.names import table_name_of
+from tabquest.session import small_table
 from tabquest.sources.manifest import require_fields
 
 CATALOG_SCHEMA = "table_name string, ordinal int, column_name string, data_type string"
@@ -80,7 +81,7 @@ def catalog_of(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFram
         for table, df in tables.items()
         for ordinal, field in enumerate(df.schema.fields, start=1)
     ]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return small_table(spark, rows, CATALOG_SCHEMA)
 
 
 def session_tables(spark: SparkSession, database: str | None = None) -> list[str]:
