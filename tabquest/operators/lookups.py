@@ -25,19 +25,13 @@ def _first_entry(manifest: DataFrame, key: Column) -> DataFrame:
 
 def find_entries(df: DataFrame, manifest: DataFrame, file_path: str = "file_path") -> DataFrame:
     """Add ``entry``, the first manifest entry of the same file; null without a match."""
-    entries = _first_entry(manifest, strip(F.col("file_path")))
     keyed = df.withColumn("lookup_key", strip(F.col(file_path)))
-    return keyed.join(entries, "lookup_key", "left").drop("lookup_key")
+    return keyed.join(entries_by_file(manifest), "lookup_key", "left").drop("lookup_key")
 
 
-def require_entry(df: DataFrame) -> DataFrame:
-    """Fail the job on a row whose dataset is not in the manifest."""
-    problem = F.concat(
-        F.lit("Retrieved dataset was not found in the manifest: "), F.coalesce("file_path", F.lit(""))
-    )
-    return df.withColumn(
-        "entry", F.when(F.col("entry").isNull(), F.raise_error(problem)).otherwise(F.col("entry"))
-    )
+def entries_by_file(manifest: DataFrame) -> DataFrame:
+    """``(lookup_key, entry)``: the first manifest entry of every file."""
+    return _first_entry(manifest, strip(F.col("file_path")))
 
 
 def resolve_table_names(requests: DataFrame, manifest: DataFrame, strict: bool = False) -> DataFrame:
@@ -98,6 +92,19 @@ def nested_schemas(catalog: DataFrame) -> DataFrame:
     )
 
 
+def dataset_contexts(manifest: DataFrame, metadata: DataFrame, catalog: DataFrame) -> DataFrame:
+    """What is known of every file: table name, schema, description and notes.
+
+    Worked out once per dataset, however many questions find it; write the
+    result, so that Spark knows its size when it is joined.
+    """
+    name = table_name_of(
+        F.col("entry.table_name"), F.col("entry.dataset_name"), F.col("entry.file_path"), strict=False
+    )
+    named = entries_by_file(manifest).withColumn("table_name", name)
+    return described(named.join(nested_schemas(catalog), "table_name", "left"), metadata).drop("entry")
+
+
 def described(df: DataFrame, metadata: DataFrame) -> DataFrame:
     """Add ``description`` and ``notes`` of each row's ``entry``.
 

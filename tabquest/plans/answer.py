@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
-from tabquest.functions.names import strip, table_name_of
+from tabquest.functions.names import strip
 from tabquest.functions.vectors import Encoder
 from tabquest.operators import lookups
 from tabquest.operators.audit import analyse, audit, generated_problem
@@ -17,6 +17,7 @@ from tabquest.operators.columns import select_columns
 from tabquest.operators.metrics import build_records
 from tabquest.operators.similarity import top_k
 from tabquest.plans.embed import embed
+from tabquest.session import materialise
 
 
 def retrieve(
@@ -42,22 +43,24 @@ def retrieve(
     )
 
 
-def enrich(retrieved: DataFrame, manifest: DataFrame, metadata: DataFrame, catalog: DataFrame) -> DataFrame:
+def enrich(retrieved: DataFrame, contexts: DataFrame) -> DataFrame:
     """Add table name, schema, description and notes to retrieved records; ranks stay.
 
-    A record that the manifest does not know fails the job.
+    ``contexts`` comes from :func:`tabquest.operators.lookups.dataset_contexts`.
+    A record that the manifest does not know, or without a table, fails the job.
     """
-    known = lookups.require_entry(lookups.find_entries(retrieved, manifest))
-    named = known.withColumn(
-        "table_name",
-        table_name_of(F.col("entry.table_name"), F.col("entry.dataset_name"), F.col("entry.file_path")),
+    known = contexts.withColumn("is_known", F.lit(True))
+    joined = retrieved.withColumn("lookup_key", strip(F.col("file_path"))).join(known, "lookup_key", "left")
+    unknown = F.concat(
+        F.lit("Retrieved dataset was not found in the manifest: "), F.coalesce("file_path", F.lit(""))
     )
-    schemas = lookups.nested_schemas(catalog)
-    problem = F.raise_error(F.concat(F.lit("Table not found: "), F.col("table_name")))
-    with_schema = named.join(schemas, "table_name", "left").withColumn(
-        "schema", F.when(F.col("schema").isNull(), problem).otherwise(F.col("schema"))
+    no_table = F.concat(F.lit("Table not found: "), F.coalesce("table_name", F.lit("")))
+    checked = (
+        F.when(F.col("is_known").isNull(), F.raise_error(unknown))
+        .when(F.col("schema").isNull(), F.raise_error(no_table))
+        .otherwise(F.col("schema"))
     )
-    return lookups.described(with_schema, metadata).drop("entry")
+    return joined.withColumn("schema", checked).drop("is_known", "lookup_key")
 
 
 def prepare_contexts(
@@ -178,7 +181,8 @@ def answer_batch(
     one row per question with candidates, selected dataset, context, audit
     result and records.
     """
-    found = enrich(retrieve(questions, store, fv.DEFAULT_TOP_K, make_encoder), manifest, metadata, catalog)
+    datasets = materialise(lookups.dataset_contexts(manifest, metadata, catalog), "dataset-contexts")
+    found = enrich(retrieve(questions, store, fv.DEFAULT_TOP_K, make_encoder), datasets)
     asked = found.join(questions.select("question_id", "question"), "question_id")
     contexts = candidate_contexts(asked, catalog, fv.DEFAULT_SQL_CANDIDATES, top_columns)
     accepted = accept_generated(contexts, generated).cache()

@@ -208,10 +208,11 @@ enriched AS (SELECT f.question_id, f.record_id, f.distance, f.rank, r.dataset_na
 def _enriched(spark, sf_dir):
     profiled = materialise(profiles(spark, sf_dir), "profiles")
     manifest = given_manifest(spark)
-    store = embed(dataset_documents(profiled, manifest), "document")
+    store = materialise(embed(dataset_documents(profiled, manifest), "document"), "store")
     asked = questions(spark, sf_dir).select("question_id", "question")
     found = retrieve(asked, store)
-    return enrich(found, manifest, profiled, given_catalog(spark, sf_dir)), asked
+    contexts = lookups.dataset_contexts(manifest, profiled, given_catalog(spark, sf_dir))
+    return enrich(found, materialise(contexts, "contexts")), asked
 
 
 @register(

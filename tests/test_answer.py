@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tabquest.operators import lookups
 from tabquest.plans.answer import answer_batch, candidate_contexts, enrich, prepare_contexts, retrieve
 from tabquest.plans.embed import dataset_documents, embed
 from tabquest.plans.profile import build_metadata
@@ -33,7 +34,7 @@ def world(spark):
     metadata = build_metadata(manifest, datasets)
     catalog = catalog_of(spark, {"mental_survey": survey, "labels": labels})
     store = embed(dataset_documents(metadata, manifest), "document")
-    return manifest, metadata, catalog, store
+    return manifest, metadata, catalog, store, lookups.dataset_contexts(manifest, metadata, catalog)
 
 
 QUESTIONS = [(1, "How many respondents received treatment?"), (2, "Show all columns of drug labels"), (3, "side effects of drug aspirin")]
@@ -45,8 +46,8 @@ def questions(spark):
 
 
 def test_retrieve_and_enrich(world, questions):
-    manifest, metadata, catalog, store = world
-    rows = enrich(retrieve(questions, store), manifest, metadata, catalog).orderBy("question_id", "rank").collect()
+    manifest, metadata, catalog, store, datasets = world
+    rows = enrich(retrieve(questions, store), datasets).orderBy("question_id", "rank").collect()
     assert [(r["question_id"], r["rank"], r["table_name"]) for r in rows] == [
         (1, 1, "mental_survey"), (1, 2, "labels"), (2, 1, "labels"), (2, 2, "mental_survey"),
         (3, 1, "labels"), (3, 2, "mental_survey"),
@@ -56,9 +57,20 @@ def test_retrieve_and_enrich(world, questions):
     assert rows[1]["dataset_name"] == "labels"
 
 
+def test_unknown_records_fail(spark, world):
+    manifest, metadata, catalog, _, datasets = world
+    found = spark.createDataFrame([(1, "data/gone.csv"), (2, " data/labels.csv ")], "question_id int, file_path string")
+    assert enrich(found.filter("question_id = 2"), datasets).first()["table_name"] == "labels"
+    with pytest.raises(Exception, match="was not found in the manifest: data/gone.csv"):
+        enrich(found, datasets).collect()
+    with pytest.raises(Exception, match="Table not found: labels"):
+        fewer = lookups.dataset_contexts(manifest, metadata, catalog.filter("table_name != 'labels'"))
+        enrich(found.filter("question_id = 2"), fewer).collect()
+
+
 def test_contexts_and_prompts(world, questions):
-    manifest, metadata, catalog, store = world
-    asked = enrich(retrieve(questions, store), manifest, metadata, catalog).join(questions, "question_id")
+    manifest, metadata, catalog, store, datasets = world
+    asked = enrich(retrieve(questions, store), datasets).join(questions, "question_id")
     contexts = candidate_contexts(asked, catalog, top_columns=1)
     row = contexts.select("*", candidates_prompt(F.col("question"), F.col("context")).alias("p")).filter("question_id = 1").first()
     first, second = row["context"]["candidates"]
@@ -95,7 +107,7 @@ def test_plain_number(spark):
 
 
 def test_answer_batch(spark, world, questions):
-    manifest, metadata, catalog, store = world
+    manifest, metadata, catalog, store, datasets = world
 
     def written(index, table, sql, mode="aggregate"):
         return (index, "d", "s", mode, "kept", table, "focused_schema", sql, [], "")
@@ -126,7 +138,7 @@ def test_answer_batch(spark, world, questions):
 
 
 def test_query_that_spark_rejects_is_an_invalid_one(spark, world, questions):
-    manifest, metadata, catalog, store = world
+    manifest, metadata, catalog, store, datasets = world
     generated = spark.createDataFrame(
         [(1, (0, "d", "s", "aggregate", "k", "mental_survey", "focused_schema", "SELECT nope FROM mental_survey", [], ""))], GENERATED
     )
