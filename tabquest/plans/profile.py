@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
 from tabquest.functions.text import dataset_description, embedding_text
+from tabquest.session import small_table
 from tabquest.sources import metadata as metadata_source
 from tabquest.sources.manifest import require_fields, with_defaults
 from tabquest.sources.tables import read_csv
@@ -17,16 +18,11 @@ from tabquest.sources.tables import read_csv
 
 def table_sizes(datasets: Mapping[str, DataFrame]) -> DataFrame:
     """``(file_path, num_rows, num_columns, columns)``, one row per dataset, in one job."""
-    sizes = [
-        df.agg(F.count("*").alias("num_rows")).select(
-            F.lit(path).alias("file_path"),
-            "num_rows",
-            F.lit(len(df.columns)).cast("long").alias("num_columns"),
-            F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
-        )
-        for path, df in datasets.items()
-    ]
-    return reduce(DataFrame.unionByName, sizes)
+    counts = [df.select(F.lit(path).alias("file_path"), F.count("*").alias("num_rows")) for path, df in datasets.items()]
+    shapes = [(path, len(df.columns), df.columns) for path, df in datasets.items()]
+    spark = next(iter(datasets.values())).sparkSession
+    known = small_table(spark, shapes, "file_path string, num_columns long, columns array<string>")
+    return reduce(DataFrame.union, counts).join(known, "file_path")
 
 
 def head_sample(df: DataFrame, order: list[str] | None = None, n: int = fv.DEFAULT_SAMPLE_ROWS) -> DataFrame:
@@ -143,8 +139,3 @@ def refresh_metadata(
 def sample_cells(df: DataFrame, order: list[str], n: int = fv.DEFAULT_SAMPLE_ROWS) -> DataFrame:
     """Head sample in long form: ``(position, column_name, value)``."""
     return head_sample(df, order, n).select("position", F.explode("row").alias("column_name", "value"))
-
-
-def row_count(df: DataFrame) -> Column:
-    """Row count of a table as a scalar subquery."""
-    return df.select(F.count("*")).scalar()
