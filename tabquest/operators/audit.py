@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,17 +88,24 @@ def generated_problem(candidates: Column, chosen_index: Column, table_name: Colu
     )
 
 
-def analyse(spark: SparkSession, sql: str) -> DataFrame:
-    """Let Spark analyse one query, with double-quoted identifiers; raises if it is not acceptable."""
+@contextmanager
+def quoted_identifiers(spark: SparkSession) -> Iterator[None]:
+    """Read double-quoted words as identifiers while queries are analysed."""
     setting = "spark.sql.ansi.doubleQuotedIdentifiers"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "true")
     try:
-        return spark.sql(sql)
+        yield
     finally:
         spark.conf.set(setting, before)
 
 
+def analyse(spark: SparkSession, sql: str) -> DataFrame:
+    """Let Spark analyse one query; raises if it is not acceptable."""
+    with quoted_identifiers(spark):
+        return spark.sql(sql)
+
+
 def check_sql(spark: SparkSession, sql: str, expected_table: str | None = None) -> tuple[dict, DataFrame | None]:
     """Validation record of one query, and its DataFrame if it is acceptable.
 

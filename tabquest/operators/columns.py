@@ -45,7 +45,8 @@ def merge_columns(primary: Column, secondary: Column, limit: int | None = None)
     return merged if limit is None else F.slice(merged, 1, max(limit, 1))
 
 
-def _shown(columns: Column) -> Column:
+def shown(columns: Column) -> Column:
+    """Name and type of every column of a list."""
     return F.transform(columns, lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type")))
 
 
@@ -80,8 +81,8 @@ def table_schemas(catalog: DataFrame) -> DataFrame:
             "table_name",
             "columns",
             F.map_from_entries(frequency).alias("frequency"),
-            _shown(F.col("identifiers")).alias("identifiers"),
-            merge_columns(_shown(F.col("identifiers")), _shown(F.col("columns"))).alias("broad_columns"),
+            shown(F.col("identifiers")).alias("identifiers"),
+            merge_columns(shown(F.col("identifiers")), shown(F.col("columns"))).alias("broad_columns"),
         )
     )
 
@@ -173,7 +174,7 @@ def select_columns(questions: DataFrame, catalog: DataFrame, top_columns: int =
     made once per table.  Other questions get identifiers and then ranked
     columns, up to the limit.
     """
-    ranked = _shown(ranked_columns(F.col("question"), F.col("columns"), F.col("frequency"), top_columns))
+    ranked = shown(ranked_columns(F.col("question"), F.col("columns"), F.col("frequency"), top_columns))
     narrow = merge_columns(F.col("identifiers"), ranked, top_columns)
     selected = F.when(is_broad(F.col("question")), F.col("broad_columns")).otherwise(narrow)
     return with_schemas(questions, catalog).select(

@@ -52,7 +52,10 @@ def resolve_table_names(requests: DataFrame, manifest: DataFrame, strict: bool =
     found = requests.withColumn("lookup_key", asked).join(entries, "lookup_key", "left")
     resolved = F.coalesce(explicit, F.col("manifest_table"))
     if strict:
-        problem = F.concat(F.lit("Dataset not found in manifest: "), F.coalesce("dataset_name", F.lit("")))
+        name = F.nullif(F.col("dataset_name"), F.lit(""))
+        problem = F.when(name.isNull(), F.lit("Provide a table or a dataset.")).otherwise(
+            F.concat(F.lit("Dataset not found in manifest: "), name)
+        )
         resolved = F.when(resolved.isNull(), F.raise_error(problem).cast("string")).otherwise(resolved)
     return found.withColumn("resolved_table", resolved).drop("lookup_key", "manifest_table")
 

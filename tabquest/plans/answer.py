@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +14,13 @@ from tabquest import fixed_values as fv
 from tabquest.functions.names import strip
 from tabquest.functions.vectors import Encoder
 from tabquest.operators import lookups
-from tabquest.operators.audit import analyse, audit, generated_problem
-from tabquest.operators.columns import select_columns
+from tabquest.operators.audit import audit, generated_problem, quoted_identifiers
+from tabquest.operators.columns import ranked_columns, select_columns, shown, with_schemas
 from tabquest.operators.metrics import build_records
 from tabquest.operators.similarity import top_k
+from tabquest.operators.single_table import result_records
 from tabquest.plans.embed import embed
-from tabquest.session import materialise
+from tabquest.session import materialise, small_table, work_dir
 
 
 def retrieve(
@@ -77,6 +80,36 @@ def prepare_contexts(
     )
 
 
+def prepare_requests(
+    requests: DataFrame, manifest: DataFrame, catalog: DataFrame, top_columns: int = fv.DEFAULT_TOP_COLUMNS
+) -> DataFrame:
+    """Contexts for questions about a table or a dataset named by the user.
+
+    ``requests`` has ``question_id``, ``question``, ``table_name`` and
+    ``dataset_name``; a request without a known table fails the job.
+    """
+    named = lookups.resolve_table_names(requests, manifest, strict=True)
+    asked = named.select("question_id", "question", F.col("resolved_table").alias("table_name"))
+    return prepare_contexts(asked, catalog, top_columns)
+
+
+def inspect_tables(
+    requests: DataFrame, manifest: DataFrame, catalog: DataFrame, top_columns: int = fv.DEFAULT_TOP_COLUMNS
+) -> DataFrame:
+    """Schema of every requested table, with suggested columns where a question is given."""
+    named = lookups.resolve_table_names(requests, manifest, strict=True)
+    asked = named.select("question_id", "question", F.col("resolved_table").alias("table_name"))
+    ranked = ranked_columns(F.col("question"), F.col("columns"), F.col("frequency"), top_columns)
+    return with_schemas(asked, catalog).select(
+        "question_id",
+        "question",
+        "table_name",
+        F.size("columns").cast("long").alias("column_count"),
+        shown(F.col("columns")).alias("schema"),
+        F.when(F.col("question") != "", shown(ranked)).alias("suggested_columns"),
+    )
+
+
 CANDIDATE_FIELDS = (
     "candidate_index", "dataset_name", "table_name", "description", "data_interpretation_notes",
     "source", "distance", "query_mode", "column_count", "selected_column_count", "selected_columns",
@@ -133,33 +166,59 @@ def accept_generated(contexts: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def run_accepted(
-    spark: SparkSession, audited: DataFrame, limit: int = fv.DEFAULT_ROW_LIMIT
+    spark: SparkSession, audited: DataFrame, limit: int = fv.DEFAULT_ROW_LIMIT, at_once: int = 4
 ) -> tuple[DataFrame, DataFrame]:
-    """Run every valid query and return ``(results, outcomes)``.
+    """Run every valid query and return ``(results, outcomes)``, both written tables.
 
-    Executors cannot start queries, so the valid texts are walked one by one on
-    the driver; each is a distributed job and gives at most ``limit`` rows.
+    Executors cannot start queries, so the driver walks the valid texts, a few
+    at a time; each is a distributed job that writes its at most ``limit`` rows
+    itself.  Only one small outcome per query of the current group is held here.
     """
-    records, outcomes = [], []
-    valid = audited.filter("is_valid").select("question_id", "normalized_sql")
-    for row in valid.toLocalIterator():
-        started = time.perf_counter()
-        count, problem = None, None
+    folder = work_dir(spark, "answers")
+    id_type = audited.schema["question_id"].dataType.simpleString()
+    outcome_schema = f"question_id {id_type}, engine_error string, sql_execution double"
+    result_schema = f"question_id {id_type}, position long, record string"
+
+    def run(row) -> tuple:
+        started, problem = time.perf_counter(), None
         try:
-            df = analyse(spark, row["normalized_sql"]).limit(limit)
-            found = df.toJSON().collect()  # capped by limit
-            count = len(found)
-            records += [(row["question_id"], i, text) for i, text in enumerate(found)]
+            found = result_records(spark.sql(row["normalized_sql"]), limit)
+            found.select(
+                F.lit(row["question_id"]).cast(id_type).alias("question_id"),
+                F.monotonically_increasing_id().alias("position"),
+                "record",
+            ).write.mode("append").parquet(f"{folder}/results")
         except Exception as error:  # a failing query becomes an outcome, not a failed batch
             problem = str(error)
-        elapsed = (time.perf_counter() - started) * 1000.0
-        outcomes.append((row["question_id"], count, problem, elapsed))
-    id_type = audited.schema["question_id"].dataType.simpleString()
-    return (
-        spark.createDataFrame(records, f"question_id {id_type}, position int, record string"),
-        spark.createDataFrame(
-            outcomes, f"question_id {id_type}, row_count_returned long, engine_error string, sql_execution double"
-        ),
+        return row["question_id"], problem, (time.perf_counter() - started) * 1000.0
+
+    valid = audited.filter("is_valid").select("question_id", "normalized_sql").toLocalIterator()
+    small_table(spark, [], outcome_schema).write.parquet(f"{folder}/outcomes")
+    small_table(spark, [], result_schema).write.parquet(f"{folder}/results")
+    with quoted_identifiers(spark), ThreadPoolExecutor(at_once) as pool:
+        for group in batched(valid, 1000):
+            outcomes = small_table(spark, list(pool.map(run, group)), outcome_schema)
+            outcomes.write.mode("append").parquet(f"{folder}/outcomes")
+    results = spark.read.schema(result_schema).parquet(f"{folder}/results")
+    counts = results.groupBy("question_id").agg(F.count("*").alias("row_count_returned"))
+    outcomes = spark.read.schema(outcome_schema).parquet(f"{folder}/outcomes").join(counts, "question_id", "left")
+    returned = F.when(F.col("engine_error").isNull(), F.coalesce("row_count_returned", F.lit(0)))
+    return results, outcomes.withColumn("row_count_returned", returned)
+
+
+def generated_payloads(accepted: DataFrame, model: str) -> DataFrame:
+    """The record that is saved for every accepted generated query.
+
+    Mode and columns are set for single-table contexts only, candidates for the others.
+    """
+    return accepted.filter(F.col("problem").isNull()).select(
+        "question",
+        F.lit(None).cast("string").alias("suggested_mode"),
+        F.col("generated.table_name").alias("table_name"),
+        F.lit(model).alias("sql_generation_model"),
+        F.lit(None).cast("array<struct<name:string,type:string>>").alias("selected_columns"),
+        F.col("context.candidates").alias("candidate_contexts"),
+        F.col("generated").alias("generated_query"),
     )
 
 
@@ -182,14 +241,14 @@ def answer_batch(
     result and records.
     """
     datasets = materialise(lookups.dataset_contexts(manifest, metadata, catalog), "dataset-contexts")
-    found = enrich(retrieve(questions, store, fv.DEFAULT_TOP_K, make_encoder), datasets)
+    found = materialise(enrich(retrieve(questions, store, fv.DEFAULT_TOP_K, make_encoder), datasets), "found")
     asked = found.join(questions.select("question_id", "question"), "question_id")
     contexts = candidate_contexts(asked, catalog, fv.DEFAULT_SQL_CANDIDATES, top_columns)
-    accepted = accept_generated(contexts, generated).cache()
+    accepted = materialise(accept_generated(contexts, generated), "accepted")
     usable = accepted.filter(F.col("problem").isNull()).select(
         "question_id", F.col("generated.sql").alias("sql"), F.col("generated.table_name").alias("expected_table")
     )
-    audited = audit(usable).cache()
+    audited = materialise(audit(usable), "audited")
     results, outcomes = run_accepted(spark, audited, limit)
 
     rejected = F.concat(F.lit("Spark rejected the query: "), F.col("engine_error"))

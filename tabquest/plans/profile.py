@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from itertools import batched
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from tabquest.sources import metadata as metadata_source
 from tabquest.sources.manifest import require_fields, with_defaults
 from tabquest.sources.tables import read_csv
 
+# One job profiles this many datasets, so that its plan stays small.
+DATASETS_PER_JOB = 50
+
 
 def table_sizes(datasets: Mapping[str, DataFrame]) -> DataFrame:
     """``(file_path, num_rows, num_columns, columns)``, one row per dataset, in one job."""
@@ -129,10 +133,10 @@ def refresh_metadata(
         wanted = wanted.join(stored, "metadata_path", "left_anti")
     # One row per dataset: the files to open must be known to plan the scans.
     paths = [r["file_path"] for r in wanted.select("file_path").toLocalIterator()]
-    if not paths:
-        return 0
-    datasets = {p: read_csv(spark, p, (schemas or {}).get(p)) for p in paths}
-    metadata_source.write_metadata(build_metadata(wanted, datasets, sample_rows), folder)
+    for group in batched(paths, DATASETS_PER_JOB):
+        datasets = {p: read_csv(spark, p, (schemas or {}).get(p)) for p in group}
+        entries = wanted.filter(F.col("file_path").isin(list(group)))
+        metadata_source.write_metadata(build_metadata(entries, datasets, sample_rows), folder)
     return len(paths)
 
 

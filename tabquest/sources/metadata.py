@@ -20,6 +20,15 @@ PAYLOAD_SCHEMA = (
     "selected_columns_used: array<string>, explanation: string>"
 )
 
+_COLUMNS = "array<struct<name: string, type: string>>"
+CONTEXT_SCHEMA = (
+    "question string, query_mode string, table_name string, column_count long, selected_column_count long, "
+    f"selected_columns {_COLUMNS}, suggested_candidate_index int, suggested_dataset_name string, "
+    "candidates array<struct<candidate_index: int, dataset_name: string, table_name: string, description: string, "
+    "data_interpretation_notes: string, source: string, distance: double, query_mode: string, column_count: long, "
+    f"selected_column_count: long, selected_columns: {_COLUMNS}>>"
+)
+
 
 def path_missing(problem: AnalysisException) -> bool:
     return problem.getCondition() == "PATH_NOT_FOUND"
@@ -74,3 +83,13 @@ def read_payloads(spark: SparkSession, path: str, one_per_file: bool = True) ->
         .json(path)
         .withColumn("payload_file", F.col("_metadata.file_path"))
     )
+
+
+def read_contexts(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Saved contexts as one table; ``candidates`` is null for a single-table context."""
+    return (
+        spark.read.option("multiLine", one_per_file)
+        .schema(CONTEXT_SCHEMA)
+        .json(path)
+        .withColumn("context_file", F.col("_metadata.file_path"))
+    )

@@ -54,7 +54,8 @@ def upsert(
 ) -> None:
     """Insert or replace records by key; of repeats in the batch the last one stays.
 
-    ``buckets`` is fixed for the life of a store.  Tasks may be lost and run
+    ``buckets`` is fixed for the life of a store; more buckets mean that a small
+    batch rewrites less.  Tasks may be lost and run
     again: files appear only when the job commits.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
@@ -65,7 +66,7 @@ def upsert(
         touched = [r["bucket"] for r in latest.select("bucket").distinct().collect()]  # at most `buckets`
         result = merge_records(store.filter(F.col("bucket").isin(touched)), latest, key)
     (
-        result.repartition("bucket")
+        result.hint("rebalance", "bucket")  # whole buckets per task, large ones split
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")

@@ -9,15 +9,26 @@ from pyspark.sql.streaming import StreamingQuery
 from tabquest.operators.metrics import group_records, summary_from_groups
 
 BATCH = "batch_id"
+SLOTS = 4
 
 
-def _write_batch(path: str):
-    """Sink that writes each micro-batch to its own folder.
+def _write_state(path: str):
+    """Sink for a small complete state: each batch replaces one of a few slots.
 
-    A batch that runs again after a failure replaces its own folder, so nothing
-    is counted twice.
+    The newest slot is the state; a batch that runs again after a failure
+    replaces its own slot, and readers meanwhile find the one before.
     """
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn(BATCH, F.lit(batch_id).cast("long"))
+        stamped.write.mode("overwrite").parquet(f"{path}/slot={batch_id % SLOTS}")
+
+    return write
+
+
+def _write_batch(path: str):
+    """Sink that writes each micro-batch to its own folder, which a rerun replaces."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
@@ -27,13 +38,12 @@ def _write_batch(path: str):
 def start_group_stream(records: DataFrame, out_path: str, checkpoint: str) -> StreamingQuery:
     """Keep the partial results per status and mode up to date.
 
-    The state holds one row per group, whatever the length of the log; each
-    batch writes only the groups it changed.
+    The state holds one row per group, whatever the length of the log.
     """
     return (
         group_records(records)
-        .writeStream.outputMode("update")
-        .foreachBatch(_write_batch(out_path))
+        .writeStream.outputMode("complete")
+        .foreachBatch(_write_state(out_path))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -48,7 +58,9 @@ def _latest(written: DataFrame, keys: list[str]) -> DataFrame:
 
 def read_summary(spark: SparkSession, out_path: str) -> DataFrame:
     """Current summary; equals the batch summary of the same log."""
-    return summary_from_groups(_latest(spark.read.parquet(out_path), ["status", "suggested_mode", "final_mode"]))
+    slots = spark.read.parquet(out_path)
+    newest = slots.select(F.max(BATCH)).scalar()
+    return summary_from_groups(slots.filter(F.col(BATCH) == newest))
 
 
 def start_daily_stream(

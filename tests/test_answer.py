@@ -4,12 +4,23 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabquest.operators import lookups
-from tabquest.plans.answer import answer_batch, candidate_contexts, enrich, prepare_contexts, retrieve
+from tabquest.plans.answer import (
+    accept_generated,
+    answer_batch,
+    candidate_contexts,
+    enrich,
+    generated_payloads,
+    inspect_tables,
+    prepare_contexts,
+    prepare_requests,
+    retrieve,
+)
 from tabquest.plans.embed import dataset_documents, embed
 from tabquest.plans.profile import build_metadata
 from tabquest.plans.prompts import candidates_prompt, plain_number, single_table_prompt
-from tabquest.session import small_table
+from tabquest.session import small_table, work_dir
 from tabquest.sources.manifest import FIELDS
+from tabquest.sources.metadata import read_contexts, read_payloads
 from tabquest.sources.tables import catalog_of
 
 GENERATED = (
@@ -101,6 +112,41 @@ def test_single_table_prompt_and_blank_question(spark, world):
         prepare_contexts(asked.withColumn("question", F.lit("  ")), catalog).collect()
 
 
+def test_requests_by_table_or_dataset(spark, world):
+    manifest, _, catalog, _, _ = world
+    rows = [(1, "drug name", None, "LABELS"), (2, "", "mental_survey", None), (3, "tags?", "", " mental survey ")]
+    asked = small_table(spark, rows, "question_id int, question string, table_name string, dataset_name string")
+    named = asked.filter("question_id > 1")
+    found = {r["question_id"]: r for r in inspect_tables(named, manifest, catalog, 1).collect()}
+    assert found[2]["suggested_columns"] is None and found[2]["column_count"] == 3
+    assert [c["name"] for c in found[3]["suggested_columns"]] == ["tags"] and len(found[3]["schema"]) == 3
+    row = prepare_requests(named.filter("question_id = 3"), manifest, catalog, 2).first()
+    assert row["table_name"] == "mental_survey" and [c["name"] for c in row["selected_columns"]] == ["id", "tags"]
+    with pytest.raises(Exception, match="Dataset not found in manifest: LABELS"):
+        prepare_requests(asked.filter("question_id = 1"), manifest, catalog).collect()
+    with pytest.raises(Exception, match="Provide a table or a dataset"):
+        prepare_requests(asked.filter("question_id = 1").withColumn("dataset_name", F.lit("")), manifest, catalog).collect()
+
+
+def test_saved_contexts_and_payloads_read_back(spark, world, questions):
+    manifest, metadata, catalog, store, datasets = world
+    asked = enrich(retrieve(questions, store), datasets).join(questions, "question_id")
+    contexts = candidate_contexts(asked, catalog, top_columns=2)
+    folder = work_dir(spark, "saved")
+    contexts.select("question", "context.*").write.json(f"{folder}/contexts")
+    again = read_contexts(spark, f"{folder}/contexts", one_per_file=False)
+    assert {r["question"]: r["candidates"] for r in again.collect()} == {
+        r["question"]: r["context"]["candidates"] for r in contexts.collect()
+    }
+    record = (0, "Mental Survey", "aggregate", "aggregate", "kept", "mental_survey", "focused_schema", "SELECT 1 FROM mental_survey", ["id"], "why")
+    generated = spark.createDataFrame([(1, record)], GENERATED)
+    accepted = accept_generated(contexts, generated)
+    assert accepted.filter("problem is not null").count() == 2  # two questions without generated SQL
+    generated_payloads(accepted, "some-model").write.json(f"{folder}/payloads")
+    row = read_payloads(spark, f"{folder}/payloads", one_per_file=False).first()
+    assert row["table_name"] == "mental_survey" and tuple(row["generated_query"])[7] == "SELECT 1 FROM mental_survey"
+
+
 def test_plain_number(spark):
     df = small_table(spark, [(0.0,), (0.5,), (0.000123,), (1.25,), (1.0,)], "x double")
     assert [r[0] for r in df.select(plain_number(F.col("x"))).collect()] == ["0.0", "0.5", "0.000123", "1.25", "1.0"]
