@@ -146,43 +146,51 @@ def group_records(flat: DataFrame) -> DataFrame:
 
 
 def summary_from_groups(groups: DataFrame) -> DataFrame:
-    def entry(section: str, name, value: Column) -> Column:
-        label = name if isinstance(name, Column) else F.lit(name)
-        return F.struct(F.lit(section).alias("section"), label.alias("name"), value.cast("double").alias("value"))
-
-    overall = groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        *[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(f"n_{c}") for c in COUNTED],
-        *[F.sum(f"sum_{s}").alias(f"sum_{s}") for s in fv.TIMING_STAGES],
-        *[F.sum(f"cnt_{s}").alias(f"cnt_{s}") for s in fv.TIMING_STAGES],
-    )
-    total = F.nullif(F.col("n"), F.lit(0))
-    entries = [entry("total", "total_queries", F.col("n"))]
-    for flag in COUNTED:
-        entries.append(entry("count", flag, F.col(f"n_{flag}")))
-        entries.append(entry("rate", flag, F.round(100.0 * F.col(f"n_{flag}") / total, 3)))
-    for stage in fv.TIMING_STAGES:
-        mean = F.col(f"sum_{stage}") / F.nullif(F.col(f"cnt_{stage}"), F.lit(0))
-        entries.append(entry("average_ms", stage, rounded(mean)))
-    overall_rows = overall.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    """The summary from partial results, which are read once.
+
+    Every group becomes a few additive entries ``(section, name, value, weight)``;
+    rates and averages are the quotient of their sums.
+    """
 
+    def entry(section: str, name, value: Column, weight: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"),
+            (name if isinstance(name, Column) else F.lit(name)).alias("name"),
+            value.cast("double").alias("value"),
+            (weight if weight is not None else F.lit(None)).cast("double").alias("weight"),
+        )
+
+    n = F.col("n")
     suggested = F.nullif(F.col("suggested_mode"), F.lit(""))
     final = F.nullif(F.col("final_mode"), F.lit(""))
-    labels = F.array(
-        entry("status", F.col("status"), F.col("n")),
-        entry("suggested_mode", suggested, F.when(suggested.isNotNull(), F.col("n"))),
-        entry("final_mode", final, F.when(final.isNotNull(), F.col("n"))),
+    entries = [entry("total", "total_queries", n)]
+    for flag in COUNTED:
+        entries.append(entry("count", flag, F.col(f"n_{flag}")))
+        entries.append(entry("rate", flag, 100.0 * F.col(f"n_{flag}"), n))
+    for stage in fv.TIMING_STAGES:
+        entries.append(entry("average_ms", stage, F.coalesce(f"sum_{stage}", F.lit(0.0)), F.col(f"cnt_{stage}")))
+    labels = [
+        entry("status", F.col("status"), F.when(n > 0, n)),
+        entry("suggested_mode", suggested, F.when(suggested.isNotNull(), n)),
+        entry("final_mode", final, F.when(final.isNotNull(), n)),
         entry(
             "transition",
             F.concat(suggested, F.lit(" -> "), final),
-            F.when(suggested.isNotNull() & final.isNotNull(), F.col("n")),
+            F.when(suggested.isNotNull() & final.isNotNull(), n),
         ),
+    ]
+    # A group of zeros, so that an empty log has a summary too.
+    zero = groups.sparkSession.range(0, 1, 1, 1).select(
+        *[F.lit(None if c in _GROUP_KEYS else 0).cast(groups.schema[c].dataType).alias(c) for c in groups.columns]
     )
-    counted_rows = (
-        groups.select(F.explode(labels).alias("e"))
+    summed = (
+        groups.unionByName(zero)
+        .select(F.explode(F.array(*entries, *labels)).alias("e"))
         .select("e.*")
         .filter(F.col("value").isNotNull())
         .groupBy("section", "name")
-        .agg(F.sum("value").alias("value"))
+        .agg(F.sum("value").alias("value"), F.sum("weight").alias("weight"))
     )
-    return overall_rows.unionByName(counted_rows)
+    is_quotient = F.col("section").isin("rate", "average_ms")
+    quotient = F.round(F.col("value") / F.nullif(F.col("weight"), F.lit(0.0)), 3)
+    return summed.select("section", "name", F.when(is_quotient, quotient).otherwise(F.col("value")).alias("value"))

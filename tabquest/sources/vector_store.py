@@ -35,11 +35,11 @@ def new_records(batch: DataFrame, existing: DataFrame | None, key: str, force: b
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """Records of the store, or null if there is none."""
+    """Records of the store, or null if nothing was stored yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as problem:
-        if not path_missing(problem):
+        if not path_missing(problem) and problem.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         return None
 

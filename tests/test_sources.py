@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabquest.operators import lookups
 from tabquest.plans import profile
 from tabquest.plans.refresh import refresh_assets
-from tabquest.session import small_table, work_dir
+from tabquest.session import materialise, small_table, work_dir
 from tabquest.sources import manifest as manifests
 from tabquest.sources import metadata as metadata_source
 from tabquest.sources import tables, vector_store
@@ -135,6 +135,34 @@ def test_upsert_replaces_by_key_and_keeps_the_rest(spark):
     assert [r["record_id"] for r in vector_store.get_records(store, ids, "record_id").collect()] == ["a"]
 
 
+def test_empty_batch_leaves_an_empty_store(spark):
+    path = work_dir(spark, "store")
+    schema = "record_id string, document string, place int"
+    vector_store.upsert(spark, path, spark.createDataFrame([], schema), "record_id", F.col("place"))
+    assert vector_store.read_store(spark, path) is None
+    vector_store.upsert(spark, path, spark.createDataFrame([("a", "1", 0)], schema), "record_id", F.col("place"))
+    assert vector_store.read_store(spark, path).count() == 1
+
+
+def test_work_folder_is_the_clusters(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}/shared")
+    try:
+        assert work_dir(spark, "x").startswith(f"file:{tmp_path}/shared/x-")
+        assert materialise(spark.range(3), "kept").count() == 3
+        assert [p.name for p in (tmp_path / "shared").iterdir()][0].startswith("kept-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+    class Elsewhere:
+        conf = spark.conf
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        work_dir(Elsewhere, "x")
+
+
 def test_refresh_builds_each_asset_once(spark, tmp_path):
     entries = []
     for name in ("survey", "labels"):
