@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tabquest.operators import lookups
 from tabquest.plans import profile
 from tabquest.plans.refresh import refresh_assets
-from tabquest.session import materialise, small_table, work_dir
+from tabquest.session import small_table, work_dir
 from tabquest.sources import manifest as manifests
 from tabquest.sources import metadata as metadata_source
 from tabquest.sources import tables, vector_store
@@ -144,23 +144,15 @@ def test_empty_batch_leaves_an_empty_store(spark):
     assert vector_store.read_store(spark, path).count() == 1
 
 
-def test_work_folder_is_the_clusters(spark, tmp_path, monkeypatch):
-    spark.conf.set("spark.checkpoint.dir", f"file:{tmp_path}/shared")
-    try:
-        assert work_dir(spark, "x").startswith(f"file:{tmp_path}/shared/x-")
-        assert materialise(spark.range(3), "kept").count() == 3
-        assert [p.name for p in (tmp_path / "shared").iterdir()][0].startswith("kept-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-
-    class Elsewhere:
-        conf = spark.conf
-
-        class sparkContext:
-            master = "yarn"
+def test_work_folder_is_the_clusters():
+    class Session:
+        def __init__(self, settings, master):
+            self.conf, self.sparkContext = settings, type("Context", (), {"master": master})
 
+    assert work_dir(Session({"spark.checkpoint.dir": "hdfs:/shared/"}, "yarn"), "x").startswith("hdfs:/shared/x-")
+    assert work_dir(Session({}, "local[4]"), "x").startswith("/tmp/run-")
     with pytest.raises(RuntimeError, match="shared folder"):
-        work_dir(Elsewhere, "x")
+        work_dir(Session({}, "yarn"), "x")
 
 
 def test_refresh_builds_each_asset_once(spark, tmp_path):
