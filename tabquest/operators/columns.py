@@ -92,31 +92,32 @@ def column_scores(question: Column, columns: Column, frequency: Column) -> Colum
 
     A question word that is a column word adds 25 divided by the word's
     frequency in the table; a word that only contains, or is contained in, a
-    column word adds 1 divided by it.
+    column word adds 1 divided by it.  Words are first held against the table's
+    vocabulary, so columns meet only the words that match anything.
     """
+    vocabulary = F.map_keys(frequency)
     words = F.transform(
         tokenize(question),
         lambda w: F.struct(
-            w.alias("word"), F.coalesce(F.try_element_at(frequency, w), F.lit(1)).cast("double").alias("spread")
+            w.alias("word"),
+            F.coalesce(F.try_element_at(frequency, w), F.lit(1)).cast("double").alias("spread"),
+            F.filter(vocabulary, lambda t: t.contains(w) | w.contains(t)).alias("related"),
         ),
     )
 
     def gain(column: Column, word: Column) -> Column:
-        partial = F.exists(
-            column["tokens"], lambda t: t.contains(word["word"]) | word["word"].contains(t)
-        )
         return (
             F.when(F.array_contains(column["tokens"], word["word"]), fv.EXACT_TOKEN_WEIGHT / word["spread"])
-            .when(partial, fv.PARTIAL_TOKEN_WEIGHT / word["spread"])
+            .when(F.arrays_overlap(column["tokens"], word["related"]), fv.PARTIAL_TOKEN_WEIGHT / word["spread"])
             .otherwise(0.0)
         )
 
-    def scores(known: Column) -> Column:
+    def scores(matching: Column) -> Column:
         return F.transform(
-            columns, lambda c: F.round(F.aggregate(known, F.lit(0.0), lambda total, w: total + gain(c, w)), 9)
+            columns, lambda c: F.rint(F.aggregate(matching, F.lit(0.0), lambda total, w: total + gain(c, w)) * 1e9) / 1e9
         )
 
-    return let(words, scores)
+    return let(F.filter(words, lambda w: F.size(w["related"]) > 0), scores)
 
 
 def ranked_columns(question: Column, columns: Column, frequency: Column, top_columns: int) -> Column:
