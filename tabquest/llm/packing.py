@@ -14,6 +14,7 @@ offset o"), and every piece finds its run by its rank among the pieces of its le
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from tabquest.llm.encoders import byte_encoder
 from tabquest.llm.shared import bounded, broadcast_file, documents_of, prepare, stored
 from tabquest.session import small_table
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary, part int, place long"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, part int, place long"
 PLAN_SCHEMA = "length long, first_rank long, last_rank long, first_sequence long, per_sequence long, first_offset long"
 
 
@@ -56,7 +57,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
                     data = raw[first : first + n].tobytes() + end
                     start = 0
                     for piece, length in enumerate(cut_lengths(int(n) + 1, capacity)):
-                        rows.append((doc_id, piece, start, length, data[4 * start : 4 * (start + length)], part, int(seen[length])))
+                        own = data[4 * start : 4 * (start + length)]
+                        rows.append((doc_id, piece, start, length, own, zlib.crc32(own), part, int(seen[length])))
                         seen[length] += 1
                         start += length
                 columns = list(zip(*rows))
@@ -65,8 +67,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
     return documents_of(docs).mapInArrow(cut, PIECE_SCHEMA)
 
 
-_PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids", "part", "place"]
-_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+_PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "part", "place"]
+_PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -135,7 +137,8 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
 
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """Pieces of all documents with their place: doc_id, piece, start, length, ids, sequence_id, offset.
+    """Pieces of all documents with their place: doc_id, piece, start, length, ids, ids_crc32 (their
+    check sum, so that it can be had without reading them), sequence_id, offset.
 
     A null text counts as empty and gives the end id alone; repeated rows are packed as often
     as they occur; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
@@ -159,6 +162,7 @@ def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int =
             "start",
             "r.length",
             "ids",
+            "ids_crc32",
             (F.col("first_sequence") + F.floor(step / F.col("per_sequence"))).alias("sequence_id"),
             (F.col("first_offset") + step % F.col("per_sequence") * F.col("r.length")).alias("offset"),
         )

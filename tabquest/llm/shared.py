@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,30 @@ MAX_FILE_BYTES = 64 * 1024 * 1024
 MAX_KEPT_PIECES = 500_000
 
 
+_SHIPPED: set[str] = set()
+
+
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that it need not be installed there.
+
+    Spark's file server copies the archive from the driver; executors started later get it as well.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as packed:
+        for source in sorted(package.rglob("*.py")):
+            packed.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the text operators; partition counts stay as the cluster sets them."""
     configure(spark)
+    _ship_package(spark)
     for key, value in ARROW_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
