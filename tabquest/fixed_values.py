@@ -65,7 +65,9 @@ MSG_SANITY_SELECT = "Generated SQL is not a SELECT query."
 MSG_SANITY_TABLE = "Generated SQL does not reference the expected table."
 MSG_INDEX = "Generated candidate index is not allowed: "
 MSG_TABLE = "Generated table name does not match the chosen candidate table: "
-MSG_NO_SELECTED = "Could not resolve selected dataset for table: "
+MSG_NO_QUESTION = "Question is required."
+MSG_NOT_IN_MANIFEST = "Retrieved dataset was not found in the manifest: "
+MSG_NO_TABLE = "Table not found: "
 
 # ---- fixed values: stages timed in a metrics record ------------------------
 TIMING_STAGES = (

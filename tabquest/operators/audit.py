@@ -89,16 +89,21 @@ def generated_problem(candidates: Column, chosen_index: Column, table_name: Colu
     )
 
 
+# Double-quoted words are identifiers only in ANSI mode.
+IDENTIFIER_SETTINGS = ("spark.sql.ansi.enabled", "spark.sql.ansi.doubleQuotedIdentifiers")
+
+
 @contextmanager
 def quoted_identifiers(spark: SparkSession) -> Iterator[None]:
-    """Read double-quoted words as identifiers while queries are analysed."""
-    setting = "spark.sql.ansi.doubleQuotedIdentifiers"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "true")
+    """Read double-quoted words as identifiers while queries are analysed; settings are put back."""
+    before = {setting: spark.conf.get(setting) for setting in IDENTIFIER_SETTINGS}
+    for setting in IDENTIFIER_SETTINGS:
+        spark.conf.set(setting, "true")
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
 
 
 def analyse(spark: SparkSession, sql: str) -> DataFrame:

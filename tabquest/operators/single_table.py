@@ -106,6 +106,22 @@ def result_records(df: DataFrame, limit: int = fv.DEFAULT_ROW_LIMIT) -> DataFram
     return df.limit(limit).select(F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("record"))
 
 
+def result_summary(df: DataFrame, limit: int = fv.DEFAULT_ROW_LIMIT) -> DataFrame:
+    """One row for a capped result: columns, rows, row_count_returned, limit_applied, is_truncated.
+
+    The query runs once; it gives at most one row more than the cap, which tells that there are more.
+    """
+    found = result_records(df, limit + 1).withColumn("position", F.monotonically_increasing_id())
+    records = F.transform(F.array_sort(F.collect_list(F.struct("position", "record"))), lambda r: r["record"])
+    return found.agg(records.alias("records")).select(
+        F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
+        F.slice("records", 1, limit).alias("rows"),
+        F.least(F.size("records"), F.lit(limit)).cast("long").alias("row_count_returned"),
+        F.lit(limit).cast("long").alias("limit_applied"),
+        (F.size("records") > limit).alias("is_truncated"),
+    )
+
+
 def is_truncated(df: DataFrame, limit: int = fv.DEFAULT_ROW_LIMIT) -> bool:
     """Whether a result has more rows than the cap shows; reads at most one row more."""
     return df.limit(limit + 1).count() > limit

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from itertools import batched
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
@@ -22,6 +23,8 @@ from tabquest.operators.single_table import result_records
 from tabquest.plans.embed import embed
 from tabquest.session import materialise, small_table, work_dir
 
+MSG_NO_CANDIDATE = "No dataset was found for the question."
+
 
 def retrieve(
     questions: DataFrame,
@@ -46,24 +49,27 @@ def retrieve(
     )
 
 
-def enrich(retrieved: DataFrame, contexts: DataFrame) -> DataFrame:
+def _record_problem() -> Column:
+    """Why a retrieved record cannot be used, or null."""
+    unknown = F.concat(F.lit(fv.MSG_NOT_IN_MANIFEST), F.coalesce("file_path", F.lit("")))
+    no_table = F.concat(F.lit(fv.MSG_NO_TABLE), F.coalesce("table_name", F.lit("")))
+    return F.when(F.col("is_known").isNull(), unknown).when(F.col("schema").isNull(), no_table)
+
+
+def enrich(retrieved: DataFrame, contexts: DataFrame, strict: bool = True) -> DataFrame:
     """Add table name, schema, description and notes to retrieved records; ranks stay.
 
     ``contexts`` comes from :func:`tabquest.operators.lookups.dataset_contexts`.
-    A record that the manifest does not know, or without a table, fails the job.
+    A record that the manifest does not know, or without a table, fails the job; if not
+    ``strict`` column ``problem`` says so instead.
     """
     known = contexts.withColumn("is_known", F.lit(True))
     joined = retrieved.withColumn("lookup_key", strip(F.col("file_path"))).join(known, "lookup_key", "left")
-    unknown = F.concat(
-        F.lit("Retrieved dataset was not found in the manifest: "), F.coalesce("file_path", F.lit(""))
-    )
-    no_table = F.concat(F.lit("Table not found: "), F.coalesce("table_name", F.lit("")))
-    checked = (
-        F.when(F.col("is_known").isNull(), F.raise_error(unknown))
-        .when(F.col("schema").isNull(), F.raise_error(no_table))
-        .otherwise(F.col("schema"))
-    )
-    return joined.withColumn("schema", checked).drop("is_known", "lookup_key")
+    problem = _record_problem()
+    if strict:
+        failed = F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.col("schema"))
+        return joined.withColumn("schema", failed).drop("is_known", "lookup_key")
+    return joined.withColumn("problem", problem).drop("is_known", "lookup_key")
 
 
 def prepare_contexts(
@@ -73,7 +79,7 @@ def prepare_contexts(
 
     A blank question fails the job.
     """
-    problem = F.raise_error(F.lit("Question is required.")).cast("string")
+    problem = F.raise_error(F.lit(fv.MSG_NO_QUESTION)).cast("string")
     given = F.when(strip(F.coalesce("question", F.lit(""))) == "", problem).otherwise(F.col("question"))
     return select_columns(questions.withColumn("question", given), catalog, top_columns).withColumn(
         "selected_column_count", F.size("selected_columns").cast("long")
@@ -168,42 +174,53 @@ def accept_generated(contexts: DataFrame, generated: DataFrame) -> DataFrame:
 def run_accepted(
     spark: SparkSession, audited: DataFrame, limit: int = fv.DEFAULT_ROW_LIMIT, at_once: int = 4
 ) -> tuple[DataFrame, DataFrame]:
-    """Run every valid query and return ``(results, outcomes)``, both written tables.
+    """Run every valid query and return ``(results, outcomes)``, both read from written tables.
 
-    Executors cannot start queries, so the driver walks the valid texts, a few
-    at a time; each is a distributed job that writes its at most ``limit`` rows
-    itself.  Only one small outcome per query of the current group is held here.
+    Executors cannot start queries, so the driver walks the distinct valid texts, a few at a
+    time.  Each text runs once, whatever the number of questions that share it, as a distributed
+    job that writes its at most ``limit`` rows to a folder of its own; running again replaces that
+    folder.  An outcome's ``engine_error`` says that Spark did not accept the query,
+    ``run_error`` that it failed while it ran.
     """
     folder = work_dir(spark, "answers")
-    id_type = audited.schema["question_id"].dataType.simpleString()
-    outcome_schema = f"question_id {id_type}, engine_error string, sql_execution double"
-    result_schema = f"question_id {id_type}, position long, record string"
+    outcome_schema = "query string, engine_error string, run_error string, sql_execution double"
+    query_of = F.concat(F.lit("q"), F.sha2("normalized_sql", 256)).alias("query")
+    valid = audited.filter("is_valid").select("question_id", "normalized_sql", query_of)
 
     def run(row) -> tuple:
-        started, problem = time.perf_counter(), None
+        started, rejected, failed = time.perf_counter(), None, None
         try:
             found = result_records(spark.sql(row["normalized_sql"]), limit)
-            found.select(
-                F.lit(row["question_id"]).cast(id_type).alias("question_id"),
-                F.monotonically_increasing_id().alias("position"),
-                "record",
-            ).write.mode("append").parquet(f"{folder}/results")
+            found.select(F.monotonically_increasing_id().alias("position"), "record").write.mode("overwrite").parquet(
+                f"{folder}/results/query={row['query']}"
+            )
+        except (AnalysisException, ParseException) as error:
+            rejected = str(error)
         except Exception as error:  # a failing query becomes an outcome, not a failed batch
-            problem = str(error)
-        return row["question_id"], problem, (time.perf_counter() - started) * 1000.0
+            failed = str(error)
+        return row["query"], rejected, failed, (time.perf_counter() - started) * 1000.0
 
-    valid = audited.filter("is_valid").select("question_id", "normalized_sql").toLocalIterator()
-    small_table(spark, [], outcome_schema).write.parquet(f"{folder}/outcomes")
-    small_table(spark, [], result_schema).write.parquet(f"{folder}/results")
+    texts = valid.select("query", "normalized_sql").distinct()
+    small_table(spark, [], outcome_schema).write.parquet(f"{folder}/outcomes/group=0")
+    small_table(spark, [], "position long, record string").write.parquet(f"{folder}/results/query=none")
     with quoted_identifiers(spark), ThreadPoolExecutor(at_once) as pool:
-        for group in batched(valid, 1000):
+        for number, group in enumerate(batched(texts.toLocalIterator(), 1000), start=1):
             outcomes = small_table(spark, list(pool.map(run, group)), outcome_schema)
-            outcomes.write.mode("append").parquet(f"{folder}/outcomes")
-    results = spark.read.schema(result_schema).parquet(f"{folder}/results")
-    counts = results.groupBy("question_id").agg(F.count("*").alias("row_count_returned"))
-    outcomes = spark.read.schema(outcome_schema).parquet(f"{folder}/outcomes").join(counts, "question_id", "left")
-    returned = F.when(F.col("engine_error").isNull(), F.coalesce("row_count_returned", F.lit(0)))
-    return results, outcomes.withColumn("row_count_returned", returned)
+            outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/group={number}")
+    rows = spark.read.schema("position long, record string, query string").parquet(f"{folder}/results")
+    counts = rows.groupBy("query").agg(F.count("*").alias("row_count_returned"))
+    outcomes = spark.read.schema(outcome_schema).parquet(f"{folder}/outcomes").join(counts, "query", "left")
+    fine = F.col("engine_error").isNull() & F.col("run_error").isNull()
+    outcomes = outcomes.withColumn("row_count_returned", F.when(fine, F.coalesce("row_count_returned", F.lit(0))))
+    asked = valid.select("question_id", "query")
+    return asked.join(rows, "query").drop("query"), asked.join(outcomes, "query").drop("query")
+
+
+def answer_status(problem: Column, run_error: Column, is_valid: Column) -> Column:
+    """error, executed or validation_failed: what became of a question."""
+    return (
+        F.when(problem.isNotNull() | run_error.isNotNull(), "error").when(is_valid, "executed").otherwise("validation_failed")
+    )
 
 
 def generated_payloads(accepted: DataFrame, model: str) -> DataFrame:
@@ -236,15 +253,31 @@ def answer_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """Answer a table of questions whose SQL was written elsewhere: ``(output, metrics)``.
 
-    Retrieval, contexts and audit are one plan over all questions.  Output has
-    one row per question with candidates, selected dataset, context, audit
-    result and records.
+    Retrieval, contexts and audit are one plan over all questions.  Output and metrics have
+    one row per question; one that cannot be answered tells why in ``problem`` and has status
+    ``error``.  Output has candidates, selected dataset, context, audit result and records.
     """
     datasets = materialise(lookups.dataset_contexts(manifest, metadata, catalog), "dataset-contexts")
-    found = materialise(enrich(retrieve(questions, store, fv.DEFAULT_TOP_K, make_encoder), datasets), "found")
-    asked = found.join(questions.select("question_id", "question"), "question_id")
-    contexts = candidate_contexts(asked, catalog, fv.DEFAULT_SQL_CANDIDATES, top_columns)
-    accepted = materialise(accept_generated(contexts, generated), "accepted")
+    asked = questions.select("question_id", "question")
+    blank = strip(F.coalesce("question", F.lit(""))) == ""
+    found = materialise(
+        enrich(retrieve(asked.filter(~blank), store, fv.DEFAULT_TOP_K, make_encoder), datasets, strict=False), "found"
+    )
+    unusable = found.filter(F.col("problem").isNotNull()).groupBy("question_id").agg(
+        F.min_by("problem", "rank").alias("record_problem")
+    )
+    usable_records = found.join(unusable, "question_id", "left_anti").drop("problem").join(asked, "question_id")
+    contexts = candidate_contexts(usable_records, catalog, fv.DEFAULT_SQL_CANDIDATES, top_columns).drop("question")
+    every = asked.join(contexts, "question_id", "left").join(unusable, "question_id", "left")
+    asked_problem = (
+        F.when(blank, fv.MSG_NO_QUESTION)
+        .when(F.col("record_problem").isNotNull(), F.col("record_problem"))
+        .when(F.col("context").isNull(), MSG_NO_CANDIDATE)
+    )
+    accepted = materialise(
+        accept_generated(every, generated).withColumn("problem", F.coalesce(asked_problem, "problem")).drop("record_problem"),
+        "accepted",
+    )
     usable = accepted.filter(F.col("problem").isNull()).select(
         "question_id", F.col("generated.sql").alias("sql"), F.col("generated.table_name").alias("expected_table")
     )
@@ -262,12 +295,12 @@ def answer_batch(
         F.struct("is_valid", "normalized_sql", "expected_table", "detected_tables", "violations").alias("validation"),
         F.when(F.col("row_count_returned").isNotNull(), F.struct("row_count_returned")).alias("execution"),
         "sql_execution",
+        "run_error",
     )
-    runs = accepted.join(validation, "question_id", "left").withColumn(
-        "status",
-        F.when(F.col("problem").isNotNull(), "error")
-        .when(F.col("validation.is_valid"), "executed")
-        .otherwise("validation_failed"),
+    runs = (
+        accepted.join(validation, "question_id", "left")
+        .withColumn("status", answer_status(F.col("problem"), F.col("run_error"), F.col("validation.is_valid")))
+        .withColumn("problem", F.coalesce("problem", "run_error"))
     )
     other_stages = [F.lit(None).cast("double").alias(s) for s in fv.TIMING_STAGES if s != "sql_execution"]
     metrics = build_records(

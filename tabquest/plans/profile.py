@@ -6,15 +6,16 @@ from collections.abc import Mapping
 from functools import reduce
 from itertools import batched
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabquest import fixed_values as fv
+from tabquest.functions.names import table_name_of
 from tabquest.functions.text import dataset_description, embedding_text
 from tabquest.session import small_table
 from tabquest.sources import metadata as metadata_source
 from tabquest.sources.manifest import require_fields, with_defaults
-from tabquest.sources.tables import read_csv
+from tabquest.sources.tables import read_csv, schema_for
 
 # One job profiles this many datasets, so that its plan stays small.
 DATASETS_PER_JOB = 50
@@ -29,21 +30,24 @@ def table_sizes(datasets: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, counts).join(known, "file_path")
 
 
-def head_sample(df: DataFrame, order: list[str] | None = None, n: int = fv.DEFAULT_SAMPLE_ROWS) -> DataFrame:
-    """First rows with their position: ``(position, row)``, the row as a map of text.
-
-    Spark tables have no row order of their own, so give ``order`` for a stable
-    sample; without it the head of the first file is taken.
-    """
-    head = (df.orderBy(*order) if order else df).limit(n)
+def _text_row(df: DataFrame) -> Column:
     names, values = [], []
     for c in df.columns:
         names.append(F.lit(c))
         values.append(F.col(f"`{c}`").cast("string"))
-    return head.select(
-        F.monotonically_increasing_id().alias("position"),
-        F.map_from_arrays(F.array(*names), F.array(*values)).alias("row"),
-    )
+    return F.map_from_arrays(F.array(*names), F.array(*values)).alias("row")
+
+
+def head_sample(df: DataFrame, order: list[str] | None = None, n: int = fv.DEFAULT_SAMPLE_ROWS) -> DataFrame:
+    """First rows with their position: ``(position, row)``, the row as a map of text.
+
+    Spark tables have no row order of their own, so give ``order`` for a stable sample.  Without
+    it the first rows of the first split are taken; no other split is read if it has enough.
+    """
+    if order:
+        return df.orderBy(*order).limit(n).select(F.monotonically_increasing_id().alias("position"), _text_row(df))
+    head = [(i, r["row"]) for i, r in enumerate(df.select(_text_row(df)).take(n))]
+    return small_table(df.sparkSession, head, "position long, row map<string,string>")
 
 
 def table_samples(
@@ -125,19 +129,25 @@ def refresh_metadata(
     sample_rows: int = fv.DEFAULT_SAMPLE_ROWS,
     force: bool = False,
     schemas: Mapping[str, str] | None = None,
+    multiline: bool = True,
 ) -> int:
-    """Profile every dataset that has no stored metadata yet (all of them when ``force``)."""
+    """Profile every dataset that has no stored metadata yet (all of them when ``force``).
+
+    ``schemas`` gives the columns of a dataset by its table name or its file path.
+    """
     wanted = require_fields(manifest, ["file_path", "metadata_path"])
     if not force:
         stored = metadata_source.read_written_metadata(spark, folder).select("metadata_path")
         wanted = wanted.join(stored, "metadata_path", "left_anti")
     # One row per dataset: the files to open must be known to plan the scans.
-    paths = [r["file_path"] for r in wanted.select("file_path").toLocalIterator()]
-    for group in batched(paths, DATASETS_PER_JOB):
-        datasets = {p: read_csv(spark, p, (schemas or {}).get(p)) for p in group}
-        entries = wanted.filter(F.col("file_path").isin(list(group)))
-        metadata_source.write_metadata(build_metadata(entries, datasets, sample_rows), folder)
-    return len(paths)
+    table = table_name_of(F.col("table_name"), F.col("dataset_name"), F.col("file_path")).alias("table")
+    entries = [(r["file_path"], r["table"]) for r in wanted.select("file_path", table).toLocalIterator()]
+    tables = dict(entries)
+    for group in batched(tables, DATASETS_PER_JOB):
+        datasets = {p: read_csv(spark, p, schema_for(schemas, p, tables[p]), multiline) for p in group}
+        described = wanted.filter(F.col("file_path").isin(list(group)))
+        metadata_source.write_metadata(build_metadata(described, datasets, sample_rows), folder)
+    return len(entries)
 
 
 def sample_cells(df: DataFrame, order: list[str], n: int = fv.DEFAULT_SAMPLE_ROWS) -> DataFrame:

@@ -29,19 +29,23 @@ def refresh_assets(
     table_location: str | None = None,
     schemas: Mapping[str, str] | None = None,
     make_encoder: Callable[[], Encoder] | None = None,
+    multiline: bool = True,
 ) -> list[str]:
-    """Run the wanted steps in order; each skips what exists unless ``force``."""
+    """Run the wanted steps in order; each skips what exists unless ``force``.
+
+    ``schemas`` gives the columns of a dataset by table name or file path, for profile and import alike.
+    """
     manifest = filter_manifest(read_manifest(spark, manifest_path), dataset_names)
     if manifest.isEmpty():
         return ["No matching datasets found in the manifest."]
     messages = []
     if not skip_metadata:
-        done = refresh_metadata(spark, manifest, metadata_folder, sample_rows, force, schemas)
+        done = refresh_metadata(spark, manifest, metadata_folder, sample_rows, force, schemas, multiline)
         messages.append(f"Generated metadata: {done}")
     if not skip_embeddings:
         metadata = read_written_metadata(spark, metadata_folder)
         refresh_embeddings(spark, metadata, manifest, store_path, force, make_encoder)
         messages.append("Embeddings are up to date")
     if not skip_tables:
-        messages += import_manifest(spark, manifest, force, location=table_location)
+        messages += import_manifest(spark, manifest, force, schemas, table_location, multiline)
     return messages

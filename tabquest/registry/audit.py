@@ -8,8 +8,8 @@ from tabquest import fixed_values as fv
 from tabquest.functions.sqltext import strip_quoted_content
 from tabquest.operators.audit import audit, guarded_sql, sanity_problem, violation_rows
 from tabquest.operators.lookups import sql_input
-from tabquest.operators.single_table import result_records
-from tabquest.registry.common import quoted, table
+from tabquest.operators.single_table import result_records, result_summary
+from tabquest.registry.common import quoted, registrar, table
 from tabquest.session import configure, work_dir
 from tabquest.sources.metadata import read_payloads
 from tabquest.streaming.audit import start_audit_stream
@@ -17,13 +17,7 @@ from tabquest.streaming.audit import start_audit_stream
 QUERIES, ORACLES = {}, {}
 
 
-def register(name: str, sql: str):
-    def add(query):
-        QUERIES[name] = query
-        ORACLES[name] = sql
-        return query
-
-    return add
+register = registrar(QUERIES, ORACLES)
 
 
 # One SQL text per part; the same expression is read by both engines.
@@ -149,6 +143,23 @@ def result_export(spark, sf_dir):
     return result_records(people)
 
 
+@register(
+    "result_summary",
+    """WITH found AS (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 ORDER BY c_name, c_custkey LIMIT 21)
+       SELECT 'c_custkey,c_name' AS columns, least(count(*), 20) AS row_count_returned, CAST(20 AS BIGINT) AS limit_applied,
+         count(*) > 20 AS is_truncated, min_by('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}', c_name) AS first_row
+       FROM found""",
+)
+def summary_of_result(spark, sf_dir):
+    """A capped result with what was returned and whether there is more, from one run."""
+    people = table(spark, sf_dir, "customer").filter("c_acctbal > 0").orderBy("c_name", "c_custkey")
+    summary = result_summary(people.select("c_custkey", "c_name"))
+    return summary.select(
+        F.array_join("columns", ",").alias("columns"), "row_count_returned", "limit_applied", "is_truncated",
+        F.get("rows", F.lit(0)).alias("first_row"),
+    )
+
+
 @register(
     "sql_inputs",
     f"""SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN 'query ' || p_name

@@ -51,6 +51,19 @@ SOURCES = {"lineitem": "warehouse", "orders": "warehouse", "pages": "crawl"}
 DOMAINS = {"lineitem": "sales, logistics", "part": "catalog", "pages": "web"}
 
 
+def registrar(queries: dict, oracles: dict):
+    """A decorator that lists a query under a name, next to the SQL it is compared with."""
+
+    def register(name: str, sql: str):
+        def add(query):
+            queries[name], oracles[name] = query, sql
+            return query
+
+        return add
+
+    return register
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read with its known schema, so that no job looks for it first."""
     return configure(spark).read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")

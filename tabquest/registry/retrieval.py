@@ -18,8 +18,9 @@ from tabquest.registry.common import (
     TABLES,
     given_catalog,
     given_manifest,
-    quoted,
     questions,
+    quoted,
+    registrar,
     table,
     tokens_sql,
     weights_sql,
@@ -32,13 +33,7 @@ from tabquest.sources import vector_store
 QUERIES, ORACLES = {}, {}
 
 
-def register(name: str, sql: str):
-    def add(query):
-        QUERIES[name] = query
-        ORACLES[name] = sql
-        return query
-
-    return add
+register = registrar(QUERIES, ORACLES)
 
 
 @register(
@@ -58,9 +53,9 @@ def normalized_vectors(spark, sf_dir):
 
 _TOPK_SQL = """WITH v AS (SELECT vec_id, [CAST(e AS DOUBLE) FOR e IN embedding] AS e FROM embeddings),
   u AS (SELECT vec_id, [x / sqrt(list_sum([y * y FOR y IN e])) FOR x IN e] AS e FROM v)
-SELECT query_id, vector_id, distance, CAST(n AS INTEGER) AS rank FROM (
+SELECT query_id, vector_id, round(distance, 6) AS distance, CAST(n AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vector_id) AS n FROM (
-    SELECT q.vec_id AS query_id, u.vec_id AS vector_id, round(1 - list_dot_product(q.e, u.e), 6) + 0.0 AS distance
+    SELECT q.vec_id AS query_id, u.vec_id AS vector_id, round(1 - list_dot_product(q.e, u.e), 10) + 0.0 AS distance
     FROM u q, u)) WHERE n <= 3"""
 
 
@@ -98,9 +93,9 @@ def hash_embed(spark, sf_dir):
         {tokens_sql('qt', 'asked', 'question_id', 'text')}, {weights_sql('qw', 'qt', 'question_id')},
         {tokens_sql('dt', 'documents', 'doc_id', 'text')}, {weights_sql('dw', 'dt', 'doc_id')},
         dots AS (SELECT question_id, doc_id, sum(qw.weight * dw.weight) AS dot FROM qw JOIN dw USING (bucket) GROUP BY 1, 2),
-        dist AS (SELECT a.question_id, d.doc_id, round(1 - coalesce(dot, 0), 6) + 0.0 AS distance
+        dist AS (SELECT a.question_id, d.doc_id, round(1 - coalesce(dot, 0), 10) + 0.0 AS distance
           FROM asked a CROSS JOIN documents d LEFT JOIN dots ON dots.question_id = a.question_id AND dots.doc_id = d.doc_id)
-        SELECT question_id, doc_id, distance, CAST(n AS INTEGER) AS rank FROM (
+        SELECT question_id, doc_id, round(distance, 6) AS distance, CAST(n AS INTEGER) AS rank FROM (
           SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, doc_id) AS n FROM dist) WHERE n <= 3""",
 )
 def document_search(spark, sf_dir):
@@ -198,9 +193,9 @@ records AS (SELECT *, regexp_extract(file_path, '([^/]*)[.]csv$', 1) AS record_i
 {tokens_sql('atok', 'questions', 'question_id', 'question')}, {weights_sql('aw', 'atok', 'question_id')},
 {tokens_sql('rt', 'records', 'record_id', 'embedding_text')}, {weights_sql('rw', 'rt', 'record_id')},
 dots AS (SELECT question_id, record_id, sum(aw.weight * rw.weight) AS dot FROM aw JOIN rw USING (bucket) GROUP BY 1, 2),
-near AS (SELECT q.question_id, r.record_id, round(1 - coalesce(dot, 0), 6) + 0.0 AS distance
+near AS (SELECT q.question_id, r.record_id, round(1 - coalesce(dot, 0), 10) + 0.0 AS distance
   FROM questions q CROSS JOIN records r LEFT JOIN dots ON dots.question_id = q.question_id AND dots.record_id = r.record_id),
-found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, record_id) AS rank FROM near) WHERE rank <= 3),
+found AS (SELECT * REPLACE (round(distance, 6) AS distance) FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, record_id) AS rank FROM near) WHERE rank <= 3),
 enriched AS (SELECT f.question_id, f.record_id, f.distance, f.rank, r.dataset_name, r.source,
     r.record_id AS table_name, r.description, r.notes FROM found f JOIN records r USING (record_id))"""
 

@@ -15,6 +15,7 @@ from tabquest.plans import profile
 from tabquest.registry.common import (
     CATALOG_SQL,
     COLUMNS,
+    GIVEN,
     TABLES,
     file_path,
     found_tables,
@@ -22,22 +23,18 @@ from tabquest.registry.common import (
     given_tables,
     manifest_rows,
     quoted,
+    registrar,
     table,
 )
-from tabquest.session import configure, work_dir
+from tabquest.session import configure, materialise, work_dir
 from tabquest.sources.manifest import filter_manifest, manifest_from_rows, read_manifest, split_valid
+from tabquest.sources.metadata import read_written_metadata, write_metadata
 from tabquest.sources.tables import import_csv, import_manifest, session_catalog
 
 QUERIES, ORACLES = {}, {}
 
 
-def register(name: str, sql: str):
-    def add(query):
-        QUERIES[name] = query
-        ORACLES[name] = sql
-        return query
-
-    return add
+register = registrar(QUERIES, ORACLES)
 
 
 @register(
@@ -319,7 +316,13 @@ def dataset_profile(spark, sf_dir):
     )
 
 
-_SAMPLED = {"customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "orders": "o_orderkey"}
+# Tables with the columns that order them; vectors are left out, as engines write them differently.
+_SAMPLED = {
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
+    "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey, l_linenumber, l_partkey, l_suppkey",
+    "events": "event_id", "documents": "doc_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id",
+    "conversations": "conv_id, turn",
+}
 
 
 def _sample_sql(name: str) -> str:
@@ -341,7 +344,7 @@ def _sample_sql(name: str) -> str:
 )
 def sample_rows(spark, sf_dir):
     cells = [
-        profile.sample_cells(table(spark, sf_dir, t), [k]).select(F.lit(t).alias("table_name"), "*")
+        profile.sample_cells(table(spark, sf_dir, t), k.split(", ")).select(F.lit(t).alias("table_name"), "*")
         for t, k in _SAMPLED.items()
     ]
     return reduce(DataFrame.union, cells)
@@ -390,9 +393,16 @@ def csv_import_roundtrip(spark, sf_dir):
     manifest = manifest_from_rows(
         spark.createDataFrame(entries, "position int, file_path string, dataset_name string"), "position"
     )
-    import_manifest(spark, manifest, location=f"{folder}/tables")
+    import_manifest(spark, manifest, location=f"{folder}/tables", multiline=False)
     import_csv(spark, f"{folder}/csv/part", names["part"])
     part, orders = spark.table(names["part"]), spark.table(names["orders"])
+    result = materialise(_imported(part, orders), "imported")
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")
+    return result
+
+
+def _imported(part, orders) -> DataFrame:
     return part.agg(
         F.lit("part").alias("table_name"),
         F.count("*").alias("num_rows"),
@@ -410,6 +420,40 @@ def csv_import_roundtrip(spark, sf_dir):
     )
 
 
+@register(
+    "csv_text_roundtrip",
+    """SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents""",
+)
+def csv_text_roundtrip(spark, sf_dir):
+    """Texts with line breaks and quotes through CSV: given columns, imported by manifest, read back."""
+    configure(spark)
+    folder = work_dir(spark, "texts")
+    name = "texts_" + folder.rsplit("-", 1)[-1]
+    writer = table(spark, sf_dir, "documents").write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/csv")
+    entries = spark.createDataFrame([(0, f"{folder}/csv", name)], "position int, file_path string, dataset_name string")
+    import_manifest(spark, manifest_from_rows(entries, "position"), schemas={name: GIVEN["documents"]})
+    result = materialise(spark.table(name).withColumn("text_md5", F.md5("text")).drop("text"), "texts")
+    spark.sql(f"DROP TABLE {name}")
+    return result
+
+
+@register(
+    "metadata_roundtrip",
+    f"""WITH {PROFILE_SQL} SELECT file_path, dataset_name, num_rows, num_columns, embedding_text,
+          least(num_rows, 3) AS samples FROM profile""",
+)
+def metadata_roundtrip(spark, sf_dir):
+    """Metadata of all given tables with their samples, written as JSON and read back."""
+    folder = work_dir(configure(spark), "metadata")
+    datasets = {file_path(t): df for t, df in given_tables(spark, sf_dir).items()}
+    write_metadata(profile.build_metadata(given_manifest(spark), datasets, 3), folder)
+    return read_written_metadata(spark, folder).select(
+        "file_path", "dataset_name", "num_rows", "num_columns", "embedding_text",
+        F.size("sample_rows").cast("long").alias("samples"),
+    )
+
+
 _ENTRY_NAME = "CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN '  ' || p_name || ' ' WHEN 2 THEN '' ELSE p_name END"
 _ENTRY_FILE = "CASE p_partkey % 7 WHEN 0 THEN '' ELSE 'data/' || p_brand || '/' || p_type || '.' || p_partkey || '.csv' END"
 

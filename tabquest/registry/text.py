@@ -7,28 +7,26 @@ from pyspark.sql import functions as F
 from tabquest import fixed_values as fv
 from tabquest.functions.text import query_mode, tokenize
 from tabquest.operators import columns as ops
-from tabquest.plans.answer import prepare_contexts
+from tabquest.plans.answer import inspect_tables, prepare_contexts, prepare_requests
 from tabquest.plans.prompts import single_table_prompt
 from tabquest.registry.common import (
     CATALOG_SQL,
     QUESTIONS_SQL,
+    TABLES,
+    file_path,
     given_catalog,
     quoted,
     questions,
+    registrar,
     table,
     tokens_sql,
 )
+from tabquest.sources.manifest import manifest_from_rows
 
 QUERIES, ORACLES = {}, {}
 
 
-def register(name: str, sql: str):
-    def add(query):
-        QUERIES[name] = query
-        ORACLES[name] = sql
-        return query
-
-    return add
+register = registrar(QUERIES, ORACLES)
 
 
 @register(
@@ -187,3 +185,40 @@ def prompt_text(spark, sf_dir):
 def sql_contexts(spark, sf_dir):
     contexts = prepare_contexts(questions(spark, sf_dir), given_catalog(spark, sf_dir), top_columns=4)
     return contexts.select("question_id", "table_name", "query_mode", "selected_column_count", "column_count")
+
+
+def _requests(spark, sf_dir):
+    """Each question names its table, or a dataset in some case with spaces around it."""
+    by_table = F.col("question_id") % 2 == 0
+    return questions(spark, sf_dir).select(
+        "question_id",
+        "question",
+        F.when(by_table, F.col("table_name")).alias("table_name"),
+        F.when(~by_table, F.concat(F.lit(" "), F.upper("table_name"))).alias("dataset_name"),
+    )
+
+
+def _named_datasets(spark) -> DataFrame:
+    """A manifest that knows every given table by its own name."""
+    rows = spark.createDataFrame([(i, t, file_path(t)) for i, t in enumerate(TABLES)], "position int, dataset_name string, file_path string")
+    return manifest_from_rows(rows, "position")
+
+
+@register("contexts_from_arguments", ORACLES["sql_contexts"])
+def contexts_from_arguments(spark, sf_dir):
+    """Contexts for questions about a table or a dataset that the user names."""
+    contexts = prepare_requests(_requests(spark, sf_dir), _named_datasets(spark), given_catalog(spark, sf_dir), top_columns=4)
+    return contexts.select("question_id", "table_name", "query_mode", "selected_column_count", "column_count")
+
+
+@register(
+    "inspect_tables",
+    f"""WITH {BASE_SQL} SELECT question_id, table_name, count(*) AS column_count,
+          string_agg(column_name || ' ' || data_type, ', ' ORDER BY ordinal) AS listed, least(count(*), 4) AS suggested
+        FROM questions JOIN catalog USING (table_name) GROUP BY 1, 2""",
+)
+def inspected_tables(spark, sf_dir):
+    """Schema of the table each question is about, and how many of its columns are suggested."""
+    found = inspect_tables(_requests(spark, sf_dir), _named_datasets(spark), given_catalog(spark, sf_dir), top_columns=4)
+    listed = F.array_join(F.transform("schema", lambda c: F.concat_ws(" ", c["name"], c["type"])), ", ")
+    return found.select("question_id", "table_name", "column_count", listed.alias("listed"), F.size("suggested_columns").cast("long").alias("suggested"))

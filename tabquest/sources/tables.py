@@ -16,17 +16,28 @@ CATALOG_SCHEMA = "table_name string, ordinal int, column_name string, data_type
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = True
 ) -> DataFrame:
     """CSV with a header row; types are inferred unless a schema is given.
 
-    Inference reads the data once more, so give a schema for large files.  Files
-    are split across tasks unless ``multiline`` (line breaks inside quotes).
+    Inference reads the data once more, so give a schema for large files.  Line breaks inside
+    quotes belong to a value, so a file is read by one task.  With ``multiline`` off, files are split
+    across tasks; then every line must be a whole record, and one that is not fails the job.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    if not multiline:
+        reader = reader.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def schema_for(
+    schemas: Mapping[str, T.StructType | str] | None, path: str, table: str
+) -> T.StructType | str | None:
+    """The schema given for a dataset, by table name or by file path."""
+    given = schemas or {}
+    return given.get(table, given.get(path))
+
+
 def import_csv(
     spark: SparkSession,
     path: str,
@@ -34,11 +45,12 @@ def import_csv(
     force: bool = False,
     schema: T.StructType | str | None = None,
     location: str | None = None,
+    multiline: bool = True,
 ) -> str:
     """Create a table from a CSV; an existing one is kept, or replaced when ``force``."""
     if spark.catalog.tableExists(table) and not force:
         return f"Skipping existing table: {table}"
-    writer = read_csv(spark, path, schema).write.mode("overwrite").format("parquet")
+    writer = read_csv(spark, path, schema, multiline).write.mode("overwrite").format("parquet")
     if location:
         writer = writer.option("path", location)
     writer.saveAsTable(table)
@@ -51,6 +63,7 @@ def import_manifest(
     force: bool = False,
     schemas: Mapping[str, T.StructType | str] | None = None,
     location: str | None = None,
+    multiline: bool = True,
 ) -> list[str]:
     """Import every dataset of a manifest; each import is a distributed job of its own."""
     entries = require_fields(manifest, ["file_path"]).select(
@@ -61,16 +74,9 @@ def import_manifest(
     )
     messages = []
     for entry in entries.orderBy("manifest_file", "entry_pos").toLocalIterator():
-        messages.append(
-            import_csv(
-                spark,
-                entry["file_path"],
-                entry["table"],
-                force,
-                (schemas or {}).get(entry["table"]),
-                f"{location}/{entry['table']}" if location else None,
-            )
-        )
+        path, table = entry["file_path"], entry["table"]
+        own = f"{location}/{table}" if location else None
+        messages.append(import_csv(spark, path, table, force, schema_for(schemas, path, table), own, multiline))
     return messages
 
 

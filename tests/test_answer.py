@@ -14,6 +14,7 @@ from tabquest.plans.answer import (
     prepare_contexts,
     prepare_requests,
     retrieve,
+    run_accepted,
 )
 from tabquest.plans.embed import dataset_documents, embed
 from tabquest.plans.profile import build_metadata
@@ -192,3 +193,69 @@ def test_query_that_spark_rejects_is_an_invalid_one(spark, world, questions):
     row = output.first()
     assert row["status"] == "validation_failed" and not row["validation"]["is_valid"]
     assert row["validation"]["violations"][0].startswith("Spark rejected the query")
+
+
+def one_more(spark, n):
+    spark.range(n).selectExpr("id", "id % 7 AS g").createOrReplaceTempView("numbers")
+
+
+def audited_rows(spark, texts):
+    rows = [(i, sql, True) for i, sql in enumerate(texts)]
+    return spark.createDataFrame(rows, "question_id long, normalized_sql string, is_valid boolean")
+
+
+def test_concurrent_queries_lose_nothing(spark):
+    one_more(spark, 50)
+    texts = [f'SELECT "id", {i} AS k FROM "numbers" WHERE "g" = {i % 7}' for i in range(110)] + ['SELECT "id" FROM "numbers"'] * 10
+    results, outcomes = run_accepted(spark, audited_rows(spark, texts), limit=5, at_once=8)
+    found = {r["question_id"]: r for r in outcomes.collect()}
+    assert len(found) == 120
+    assert all(r["engine_error"] is None and r["run_error"] is None and r["row_count_returned"] == 5 for r in found.values())
+    rows = results.groupBy("question_id").agg(F.count("*").alias("n"), F.min("record").alias("r")).collect()
+    assert len(rows) == 120 and {r["n"] for r in rows} == {5}
+    assert all(r["question_id"] >= 110 or json.loads(r["r"])["k"] == r["question_id"] for r in rows)
+
+
+def test_outcomes_tell_rejected_from_failed(spark):
+    one_more(spark, 10)
+    texts = ["SELECT id FROM numbers", "SELECT nope FROM numbers", "SELECT FROM WHERE", "SELECT 1 / (id - id) FROM numbers"]
+    results, outcomes = run_accepted(spark, audited_rows(spark, texts), at_once=4)
+    found = {r["question_id"]: r for r in outcomes.collect()}
+    assert found[0]["row_count_returned"] == 10
+    assert all(found[i]["engine_error"] and found[i]["run_error"] is None for i in (1, 2))
+    assert found[3]["engine_error"] is None and "DIVIDE_BY_ZERO" in found[3]["run_error"]
+    assert all(found[i]["row_count_returned"] is None for i in (1, 2, 3))
+    assert {r["question_id"] for r in results.collect()} == {0}
+    empty, nothing = run_accepted(spark, audited_rows(spark, texts).filter("question_id < 0"))
+    assert empty.count() == nothing.count() == 0
+
+
+def test_every_question_has_one_row(spark, world, questions):
+    manifest, metadata, catalog, store, datasets = world
+
+    def written(sql):
+        return (0, "d", "s", "aggregate", "kept", "mental_survey", "focused_schema", sql, [], "")
+
+    texts = {1: "SELECT id FROM mental_survey", 2: "SELECT nope FROM mental_survey", 3: "SELECT id FROM mental_survey JOIN x ON 1 = 1"}
+    first = questions.filter("question_id = 1").first()["question"]
+    asked = small_table(
+        spark, [(i, first) for i in (1, 2, 3, 4, 5)] + [(6, "  "), (7, None)], "question_id int, question string"
+    )
+    texts[4] = "SELECT 1 / 0 AS x FROM mental_survey"
+    generated = spark.createDataFrame([(i, written(sql)) for i, sql in texts.items()], GENERATED)
+    output, metrics = answer_batch(spark, asked, store, manifest, metadata, catalog, generated)
+    rows = {r["question_id"]: r for r in output.collect()}
+    assert len(rows) == output.count() == metrics.count() == 7
+    assert [rows[i]["status"] for i in range(1, 8)] == ["executed", "validation_failed", "validation_failed", "error", "error", "error", "error"]
+    assert "DIVIDE_BY_ZERO" in rows[4]["problem"]
+    assert rows[6]["problem"] == rows[7]["problem"] == "Question is required."
+
+
+def test_unknown_dataset_is_a_problem_of_its_question(spark, world, questions):
+    manifest, metadata, catalog, store, datasets = world
+    lost = store.withColumn("file_path", F.when(F.col("dataset_name") == "Mental Survey", F.lit("gone.csv")).otherwise(F.col("file_path")))
+    generated = spark.createDataFrame([], GENERATED)
+    output, metrics = answer_batch(spark, questions, lost, manifest, metadata, catalog, generated)
+    problems = {r["problem"] for r in output.collect()}
+    assert problems == {"Retrieved dataset was not found in the manifest: gone.csv"}
+    assert output.count() == metrics.count() == questions.count()

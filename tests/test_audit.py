@@ -89,3 +89,15 @@ def test_guarded_sql(spark):
 def test_audit_needs_no_shuffle(spark):
     df = spark.range(10).selectExpr("cast(id as string) AS sql", "cast(null as string) AS expected_table")
     assert "Exchange" not in audit(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quoted_names_need_no_ansi_session(spark):
+    spark.range(6).selectExpr("id", "id % 2 AS g").createOrReplaceTempView("halves")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        found = guarded_sql(spark, 'SELECT "id" FROM halves WHERE "g" = 1').collect()
+        assert spark.conf.get("spark.sql.ansi.enabled") == "false"
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    assert sorted(r["id"] for r in found) == [1, 3, 5]

@@ -27,3 +27,13 @@ def test_result_records_and_truncation(spark):
     rows = [r[0] for r in ops.result_records(df.orderBy("id"), 2).collect()]
     assert rows == ['{"id":0,"d":"2024-01-01","n":null}', '{"id":1,"d":"2024-01-02","n":null}']
     assert ops.is_truncated(df) and not ops.is_truncated(df, 25)
+
+
+def test_summary_tells_what_was_cut(spark):
+    df = spark.range(25).orderBy("id")
+    cut, whole = ops.result_summary(df, 20).first(), ops.result_summary(df, 25).first()
+    assert (cut["row_count_returned"], cut["limit_applied"], cut["is_truncated"], len(cut["rows"])) == (20, 20, True, 20)
+    assert cut["rows"][:2] == ['{"id":0}', '{"id":1}'] and cut["columns"] == ["id"]
+    assert (whole["row_count_returned"], whole["is_truncated"]) == (25, False)
+    none = ops.result_summary(df.filter("id < 0")).first()
+    assert (none["row_count_returned"], none["rows"], none["is_truncated"]) == (0, [], False)

@@ -179,3 +179,16 @@ def test_refresh_builds_each_asset_once(spark, tmp_path):
     finally:
         spark.sql("DROP TABLE IF EXISTS refresh_survey")
         spark.sql("DROP TABLE IF EXISTS refresh_labels")
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    lines = "".join(f'{i},"first {i}\nsecond ""{i}"""\n' for i in range(10))
+    (tmp_path / "notes.csv").write_text("id,note\n" + lines)
+    path, name = str(tmp_path / "notes.csv"), f"notes_{tmp_path.name.replace('-', '_')}"
+    rows = tables.read_csv(spark, path).orderBy("id").collect()
+    assert len(rows) == 10 and rows[3]["note"] == 'first 3\nsecond "3"'
+    tables.import_csv(spark, path, name, location=str(tmp_path / "table"))
+    assert spark.table(name).count() == 10
+    spark.sql(f"DROP TABLE {name}")
+    with pytest.raises(Exception):  # noqa: B017  a line is not a whole record
+        tables.read_csv(spark, path, "id int, note string", multiline=False).collect()
