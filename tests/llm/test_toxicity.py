@@ -34,7 +34,7 @@ def test_held_out_rows(made):
     right = [(found[i]["is_toxic"] == (i % 6 == 0), found[i]["is_low"] == (i % 3 == 0)) for i in range(180, 240)]
     assert sum(a for a, _ in right) >= 57 and sum(b for _, b in right) >= 57
     assert chain.categories == ["low", "toxic"]
-    assert chain.links[1].model.numFeatures == toxicity.FEATURES + 1  # words and the earlier category
+    assert chain.links[1].model.numFeatures == len(chain.links[1].vocabulary) + 1  # words and the earlier category
 
 
 def test_training_rows_are_bounded(made):
