@@ -10,7 +10,7 @@ from tabquest.operators import lookups
 from tabquest.operators.audit import generated_problem
 from tabquest.operators.similarity import top_k
 from tabquest.plans.answer import candidate_contexts, enrich, retrieve
-from tabquest.plans.embed import dataset_documents, embed
+from tabquest.plans.embed import dataset_documents, embed, refresh_embeddings
 from tabquest.plans.prompts import candidates_prompt
 from tabquest.registry.common import (
     CATALOG_SQL,
@@ -115,34 +115,44 @@ def document_search(spark, sf_dir):
 @register(
     "vector_upsert",
     """WITH batch AS (
-         SELECT doc_id AS record_id, lang AS document, n_chars AS num_rows, 0 AS place FROM documents
-         UNION ALL SELECT doc_id, 'labelled', quality * 10 + toxic, 1 FROM labels),
-       latest AS (SELECT record_id, document, num_rows FROM (
-         SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY place DESC) AS n FROM batch) WHERE n = 1)
-       SELECT vec_id * 3 AS record_id, 'old' AS document, CAST(label AS BIGINT) AS num_rows FROM embeddings
+         SELECT doc_id AS record_id, lang AS document, n_chars AS num_rows, 0 AS place, n_chars * 64.0 AS vector_sum FROM documents
+         UNION ALL SELECT doc_id, 'labelled', quality * 10 + toxic, 1, quality * 64.0 FROM labels),
+       latest AS (SELECT record_id, document, num_rows, vector_sum FROM (
+         SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY place DESC) AS n FROM batch) WHERE n = 1),
+       stored AS (SELECT vec_id * 3 AS record_id, 'old' AS document, CAST(label AS BIGINT) AS num_rows,
+           list_sum([CAST(e AS DOUBLE) FOR e IN embedding]) AS vector_sum FROM embeddings
          WHERE vec_id * 3 NOT IN (SELECT record_id FROM latest)
-       UNION ALL SELECT * FROM latest""",
+         UNION ALL SELECT * FROM latest)
+       SELECT record_id, document, num_rows, round(CAST(vector_sum AS DOUBLE), 4) + 0.0 AS vector_sum FROM stored""",
 )
 def vector_upsert(spark, sf_dir):
-    """Store the embeddings, then upsert a batch with repeats: the last repeat wins."""
+    """Store the embeddings, then upsert a batch with repeats (the last one wins), and compact."""
     spark = configure(spark)
     path = work_dir(spark, "store")
+    constant = lambda value: F.array_repeat(F.expr(value).cast("float"), 64)
     first = table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") * 3).alias("record_id"),
         F.lit("old").alias("document"),
         F.col("label").cast("bigint").alias("num_rows"),
         F.lit(0).alias("place"),
+        "embedding",
     )
     batch = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("record_id"), F.col("lang").alias("document"), F.col("n_chars").alias("num_rows"),
-        F.lit(0).alias("place"),
+        F.lit(0).alias("place"), constant("n_chars").alias("embedding"),
     )
     relabelled = table(spark, sf_dir, "labels").select(
-        F.col("doc_id"), F.lit("labelled"), (F.col("quality") * 10 + F.col("toxic")).cast("bigint"), F.lit(1)
+        F.col("doc_id"), F.lit("labelled"), (F.col("quality") * 10 + F.col("toxic")).cast("bigint"), F.lit(1), constant("quality")
     )
     vector_store.upsert(spark, path, first, "record_id", F.col("place"), buckets=8)
-    vector_store.upsert(spark, path, batch.union(relabelled), "record_id", F.col("place"), buckets=8)
-    return vector_store.read_store(spark, path).select("record_id", "document", "num_rows")
+    vector_store.upsert(spark, path, batch.union(relabelled), "record_id", F.col("place"))
+    vector_store.compact(spark, path)
+    return vector_store.read_store(spark, path).select("record_id", "document", "num_rows", _vector_sum())
+
+
+def _vector_sum():
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return (F.round(total, 4) + 0.0).alias("vector_sum")
 
 
 @register(
@@ -156,12 +166,20 @@ def embed_skip_existing(spark, sf_dir):
 
 @register(
     "stored_records",
-    "SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
+    """SELECT vec_id, label, round(list_sum([CAST(e AS DOUBLE) FOR e IN embedding]), 4) + 0.0 AS vector_sum
+       FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)""",
 )
 def stored_records(spark, sf_dir):
-    store = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    """Records with given ids from a store of two versions; the second replaces half of the first."""
+    spark = configure(spark)
+    path = work_dir(spark, "store")
+    rows = table(spark, sf_dir, "embeddings")
+    blank = rows.withColumn("label", F.lit(-1)).withColumn("embedding", F.array().cast("array<float>"))
+    half = F.col("vec_id") % 2 == 0
+    vector_store.upsert(spark, path, rows.filter(half).union(blank.filter(~half)), "vec_id", F.col("label"), buckets=16)
+    vector_store.upsert(spark, path, rows.filter(~half), "vec_id", F.col("label"))
     wanted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"))
-    return vector_store.get_records(store, wanted, "vec_id")
+    return vector_store.lookup(spark, path, wanted).select("vec_id", "label", _vector_sum())
 
 
 # ---- datasets for questions ---------------------------------------------------
@@ -188,6 +206,31 @@ def embed_documents(spark, sf_dir):
     return documents.select("record_id", "data_interpretation_notes", "num_rows", "document")
 
 
+_SKIPPED_SQL = f"""WITH {PROFILE_SQL} SELECT 'skip' AS step, regexp_extract(file_path, '([^/]*)[.]csv$', 1) AS record_id, num_rows,
+  embedding_text AS document FROM profile"""
+
+
+@register(
+    "embed_store",
+    f"""SELECT * FROM ({_SKIPPED_SQL})
+        UNION ALL SELECT 'force', record_id, num_rows, document FROM ({ORACLES["embed_documents"]})""",
+)
+def embed_store(spark, sf_dir):
+    """Embed and store the profiles; changed ones are skipped at first and replaced when forced."""
+    spark = configure(spark)
+    path = work_dir(spark, "store")
+    manifest, profiled = given_manifest(spark), materialise(profiles(spark, sf_dir), "profiles")
+    changed = F.expr("CASE WHEN entry_pos % 2 = 0 THEN 'Extra rule ' || entry_pos ELSE data_interpretation_notes END")
+    later = profiled.withColumn("data_interpretation_notes", changed)
+    seen = []
+    for step, metadata, force in (("first", profiled, False), ("skip", later, False), ("force", later, True)):
+        refresh_embeddings(spark, metadata, manifest, path, force)
+        unit = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).between(0.999999, 1.000001)
+        stored = vector_store.read_store(spark, path).filter(unit)
+        seen.append(materialise(stored.select(F.lit(step).alias("step"), "record_id", "num_rows", "document"), step))
+    return seen[1].union(seen[2])
+
+
 RETRIEVED_SQL = f"""{QUESTIONS_SQL}, {PROFILE_SQL},
 records AS (SELECT *, regexp_extract(file_path, '([^/]*)[.]csv$', 1) AS record_id FROM profile),
 {tokens_sql('atok', 'questions', 'question_id', 'question')}, {weights_sql('aw', 'atok', 'question_id')},

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,35 @@ def test_empty_batch_leaves_an_empty_store(spark):
     assert vector_store.read_store(spark, path).count() == 1
 
 
+def test_lookup_reads_only_the_buckets_it_needs(spark):
+    path = work_dir(spark, "store")
+    rows = spark.range(200).selectExpr("id AS record_id", "'old' AS document", "0 AS place")
+    vector_store.upsert(spark, path, rows, "record_id", F.col("place"), buckets=50)
+    vector_store.upsert(spark, path, rows.filter("record_id < 10").withColumn("document", F.lit("new")), "record_id", F.col("place"))
+    found = vector_store.lookup(spark, path, spark.createDataFrame([(3,), (11,), (999,)], "record_id long"))
+    assert {(r["record_id"], r["document"]) for r in found.collect()} == {(3, "new"), (11, "old")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    vector_store.compact(spark, path)
+    assert len(vector_store.commits(spark, path)) == 1
+    store = vector_store.read_store(spark, path)
+    assert store.count() == 200 and store.filter("document = 'new'").count() == 10
+
+
+def test_what_was_not_committed_is_not_read(spark, monkeypatch):
+    path = work_dir(spark, "store")
+    rows = spark.range(5).selectExpr("id AS record_id", "'old' AS document", "0 AS place")
+    vector_store.upsert(spark, path, rows, "record_id", F.col("place"))
+    newer = rows.withColumn("document", F.lit("new"))
+    with monkeypatch.context() as broken:
+        broken.setattr(vector_store, "small_table", lambda *_: 1 / 0)  # dies between the records and their commit
+        with pytest.raises(ZeroDivisionError):
+            vector_store.upsert(spark, path, newer, "record_id", F.col("place"))
+    assert {r["document"] for r in vector_store.read_store(spark, path).collect()} == {"old"}
+    vector_store.upsert(spark, path, newer.filter("record_id = 1"), "record_id", F.col("place"))
+    assert vector_store.read_store(spark, path).filter("document = 'new'").count() == 1
+
+
 def test_work_folder_is_the_clusters():
     class Session:
         def __init__(self, settings, master):
