@@ -11,6 +11,7 @@ by ``WORDS`` words and ``GRAMS`` n-grams of each length for each language, so it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,47 +43,69 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    """Log frequencies of words and n-grams, one vector over the languages for each."""
+    """Log frequencies of words and n-grams: a matrix with a row for each and a column for each language."""
 
     def __init__(self, languages: list[str], rows: list[tuple[int, str, str, int]]):
         """``rows``: (length of n-gram or 0 for words, language, entry, count)."""
         self.languages = languages
+        self.key = uuid.uuid4().hex
         place = {lang: i for i, lang in enumerate(languages)}
-        counts: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(LONGEST + 1)}
-        for n, lang, entry, count in rows:
-            vector = counts[n].get(entry)
-            if vector is None:
-                vector = counts[n][entry] = np.zeros(len(languages))
-            vector[place[lang]] += count
-        self.tables = {}
-        for n, table in counts.items():
-            entries = list(table)
-            matrix = np.array([table[e] for e in entries]).reshape(len(entries), len(languages)) + SMOOTHING
-            self.tables[n] = dict(zip(entries, np.log(matrix / matrix.sum(0)))) if entries else {}
-
-    def vector(self, word: str) -> np.ndarray | None:
-        """Of one run of lower-case letters; None if nothing in it is known."""
-        known = self.tables[0].get(word)
+        self.places: dict[int, dict[str, int]] = {n: {} for n in range(LONGEST + 1)}
+        parts, first = [], 0
+        for n, places in self.places.items():
+            own = [r for r in rows if r[0] == n]
+            for _, _, entry, _ in own:
+                places.setdefault(entry, first + len(places))
+            counts = np.zeros((len(places), len(languages)))
+            for _, lang, entry, count in own:
+                counts[places[entry] - first, place[lang]] += count
+            counts += SMOOTHING
+            parts.append(np.log(counts / counts.sum(0)) if len(places) else counts)
+            first += len(places)
+        self.matrix = np.concatenate(parts)
+
+    @property
+    def tables(self) -> dict[int, dict[str, np.ndarray]]:
+        """The vector of each entry, by length of n-gram (0 for words)."""
+        return {n: {entry: self.matrix[row] for entry, row in places.items()} for n, places in self.places.items()}
+
+    def rows(self, word: str) -> list[int]:
+        """Rows whose mean stands for a run of lower-case letters; none if nothing in it is known."""
+        known = self.places[0].get(word)
         if known is not None:
-            return known
+            return [known]
         padded = f" {word} "
         for n in range(LONGEST, 0, -1):
-            table = self.tables[n]
-            found = [table[g] for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g in table]
+            places = self.places[n]
+            found = [places[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in places]
             if found:
-                return np.mean(found, axis=0)
-        return None
+                return found
+        return []
 
-    def token(self, text: str) -> np.ndarray:
-        """Of what stands between white space: the sum over its runs of letters, and how many count."""
-        total = np.zeros(len(self.languages) + 2)
-        for run in _RUNS.findall(text.lower()):
-            total[-1] = 1  # has a letter
-            vector = self.vector(run)
-            if vector is not None:
-                total[:-2] += vector
-                total[-2] += 1
-        return total
+    def vector(self, word: str) -> np.ndarray | None:
+        rows = self.rows(word)
+        return self.matrix[rows].mean(0) if rows else None
+
+    def token_vectors(self, tokens: list[str]) -> np.ndarray:
+        """Of what stands between white space: the sum over its runs of letters, how many count, any letter."""
+        totals = np.zeros((len(tokens), len(self.languages) + 2))
+        rows: list[int] = []
+        owners: list[int] = []
+        sizes: list[int] = []
+        for i, token in enumerate(tokens):
+            for run in _RUNS.findall(token.lower()):
+                totals[i, -1] = 1
+                found = self.rows(run)
+                if found:
+                    rows += found
+                    owners.append(i)
+                    sizes.append(len(found))
+        if rows:
+            size, owner = np.array(sizes), np.array(owners)
+            means = np.add.reduceat(self.matrix[rows], np.cumsum(size) - size, axis=0) / size[:, None]
+            np.add.at(totals[:, :-2], owner, means)
+            np.add.at(totals[:, -2], owner, 1)
+        return totals
 
 
 class Predictor:
@@ -97,7 +120,7 @@ class Predictor:
         slots = np.fromiter((self.slots.get(t, -1) for t in tokens), np.int64, len(tokens))
         missing = np.flatnonzero(slots < 0)
         if len(missing):
-            new = np.array([self.model.token(tokens[i]) for i in missing])
+            new = self.model.token_vectors([tokens[i] for i in missing])
             slots[missing] = len(self.kept) + np.arange(len(missing))
             vectors = np.concatenate([self.kept, new])
             room = max(0, min(_KEPT - len(self.kept), len(missing)))
@@ -141,6 +164,17 @@ def _grams(size: int) -> Column:
     return F.filter(found, lambda g: F.length(g["gram"]) == size)
 
 
+_PREDICTORS: dict[str, Predictor] = {}
+
+
+def _predictor(model: Model) -> Predictor:
+    """One per worker and model, so that tasks share the vectors that are kept."""
+    if model.key not in _PREDICTORS:
+        _PREDICTORS.clear()
+        _PREDICTORS[model.key] = Predictor(model)
+    return _PREDICTORS[model.key]
+
+
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learn from text and lang of the documents that are not held out."""
     prepare(docs.sparkSession)
@@ -183,7 +217,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shipped = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shipped.value)
+        predictor = _predictor(shipped.value)
         for whole in batches:
             for batch in bounded(whole, "text"):
                 languages, scores = predictor(batch.column("text"))
@@ -206,7 +240,7 @@ def keep_recognised(docs: DataFrame, model: Model, least_score: float) -> DataFr
     shipped = prepare(docs.sparkSession).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predictor = Predictor(shipped.value)
+        predictor = _predictor(shipped.value)
         for whole in batches:
             for batch in bounded(whole, "text"):
                 texts = pc.fill_null(batch.column("text"), "")
