@@ -90,6 +90,7 @@ NOTES_LABEL = "Data interpretation notes: "
 PROMPT_MANY_HEADER = (
     "Generate a single read-only DuckDB SQL query from these retrieved dataset candidates."
 )
+PROMPT_DIALECT = "DuckDB"
 PROMPT_ONE_HEADER = "Generate a single read-only DuckDB SQL query from this context."
 PROMPT_REQUIREMENTS = (
     "Requirements:",

@@ -15,7 +15,7 @@ from tabquest import fixed_values as fv
 from tabquest.functions.names import strip
 from tabquest.functions.vectors import Encoder
 from tabquest.operators import lookups
-from tabquest.operators.audit import audit, generated_problem, quoted_identifiers
+from tabquest.operators.audit import audit, generated_problem, quoted_identifiers, sanity_problem
 from tabquest.operators.columns import ranked_columns, select_columns, shown, with_schemas
 from tabquest.operators.metrics import build_records
 from tabquest.operators.similarity import top_k
@@ -224,9 +224,9 @@ def answer_status(problem: Column, run_error: Column, is_valid: Column) -> Colum
 
 
 def generated_payloads(accepted: DataFrame, model: str) -> DataFrame:
-    """The record that is saved for every accepted generated query.
+    """The record that is saved for every accepted generated query over several candidates.
 
-    Mode and columns are set for single-table contexts only, candidates for the others.
+    Mode and columns are null here; :func:`table_payloads` sets them for single tables.
     """
     return accepted.filter(F.col("problem").isNull()).select(
         "question",
@@ -239,6 +239,23 @@ def generated_payloads(accepted: DataFrame, model: str) -> DataFrame:
     )
 
 
+def table_payloads(contexts: DataFrame, generated: DataFrame, model: str) -> DataFrame:
+    """The records saved for queries about single tables, whose contexts come from :func:`prepare_contexts`.
+
+    A generated query that cannot be right for its table is left out.
+    """
+    problem = sanity_problem(F.col("generated.sql"), F.col("generated.table_name"))
+    return contexts.drop("table_name").join(generated, "question_id").filter(problem.isNull()).select(
+        "question",
+        F.col("query_mode").alias("suggested_mode"),
+        F.col("generated.table_name").alias("table_name"),
+        F.lit(model).alias("sql_generation_model"),
+        "selected_columns",
+        F.lit(None).cast("array<struct<candidate_index:int,dataset_name:string,table_name:string>>").alias("candidate_contexts"),
+        F.col("generated").alias("generated_query"),
+    )
+
+
 def answer_batch(
     spark: SparkSession,
     questions: DataFrame,

@@ -22,22 +22,32 @@ def _column_lines(columns: Column, indent: str) -> Column:
     return F.transform(columns, lambda c: F.concat(F.lit(f"{indent}- "), c["name"], F.lit(" ("), c["type"], F.lit(")")))
 
 
-def _requirements() -> Column:
-    return F.array(F.lit(""), *[F.lit(line) for line in fv.PROMPT_REQUIREMENTS])
+def _in_dialect(line: str, dialect: str | None) -> Column:
+    """A fixed line; the dialect it names may be replaced by the one that will run the query."""
+    return F.lit(line.replace(fv.PROMPT_DIALECT, dialect) if dialect else line)
+
+
+def _requirements(dialect: str | None) -> Column:
+    return F.array(F.lit(""), *[_in_dialect(line, dialect) for line in fv.PROMPT_REQUIREMENTS])
 
 
 def single_table_prompt(
-    question: Column, mode: Column, table_name: Column, column_count: Column, columns: Column
+    question: Column,
+    mode: Column,
+    table_name: Column,
+    column_count: Column,
+    columns: Column,
+    dialect: str | None = None,
 ) -> Column:
     opening = F.array(
-        F.lit(fv.PROMPT_ONE_HEADER),
+        _in_dialect(fv.PROMPT_ONE_HEADER, dialect),
         _line("Question: ", question),
         _line("Suggested mode: ", mode),
         _line("Table name: ", table_name),
         _line("Full column count: ", column_count),
         F.lit("Available columns:"),
     )
-    return F.array_join(F.concat(opening, _column_lines(columns, ""), _requirements()), "\n")
+    return F.array_join(F.concat(opening, _column_lines(columns, ""), _requirements(dialect)), "\n")
 
 
 def _candidate_lines(candidate: Column) -> Column:
@@ -56,9 +66,9 @@ def _candidate_lines(candidate: Column) -> Column:
     return F.concat(opening, _column_lines(candidate["selected_columns"], "  "), F.array(F.lit("")))
 
 
-def candidates_prompt(question: Column, context: Column) -> Column:
+def candidates_prompt(question: Column, context: Column, dialect: str | None = None) -> Column:
     opening = F.array(
-        F.lit(fv.PROMPT_MANY_HEADER),
+        _in_dialect(fv.PROMPT_MANY_HEADER, dialect),
         _line("Question: ", question),
         _line("Suggested candidate index: ", context["suggested_candidate_index"]),
         _line("Suggested dataset name: ", context["suggested_dataset_name"]),
@@ -66,4 +76,4 @@ def candidates_prompt(question: Column, context: Column) -> Column:
         F.lit("Candidates:"),
     )
     blocks = F.flatten(F.transform(context["candidates"], _candidate_lines))
-    return F.array_join(F.concat(opening, blocks, _requirements()), "\n")
+    return F.array_join(F.concat(opening, blocks, _requirements(dialect)), "\n")

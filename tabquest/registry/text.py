@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabquest import fixed_values as fv
 from tabquest.functions.text import query_mode, tokenize
 from tabquest.operators import columns as ops
-from tabquest.plans.answer import inspect_tables, prepare_contexts, prepare_requests
+from tabquest.plans.answer import inspect_tables, prepare_contexts, prepare_requests, table_payloads
 from tabquest.plans.prompts import single_table_prompt
 from tabquest.registry.common import (
     CATALOG_SQL,
@@ -222,3 +222,22 @@ def inspected_tables(spark, sf_dir):
     found = inspect_tables(_requests(spark, sf_dir), _named_datasets(spark), given_catalog(spark, sf_dir), top_columns=4)
     listed = F.array_join(F.transform("schema", lambda c: F.concat_ws(" ", c["name"], c["type"])), ", ")
     return found.select("question_id", "table_name", "column_count", listed.alias("listed"), F.size("suggested_columns").cast("long").alias("suggested"))
+
+
+@register(
+    "table_payloads",
+    f"""WITH {BASE_SQL}, {context_sql(4)}
+        SELECT question, mode AS suggested_mode, table_name, count(*) AS selected, 'model-1' AS sql_generation_model
+        FROM context JOIN questions USING (question_id, table_name) WHERE question_id % 3 <> 0
+        GROUP BY question_id, question, table_name, mode""",
+)
+def payloads_of_tables(spark, sf_dir):
+    """Saved records of queries written for single tables; every third text is no query of its table."""
+    asked = questions(spark, sf_dir)
+    contexts = prepare_contexts(asked, given_catalog(spark, sf_dir), top_columns=4)
+    text = F.when(F.col("question_id") % 3 == 0, F.lit("SELECT 1")).otherwise(F.concat(F.lit("SELECT * FROM "), "table_name"))
+    generated = asked.select("question_id", F.struct("table_name", text.alias("sql")).alias("generated"))
+    found = table_payloads(contexts, generated, "model-1")
+    return found.select(
+        "question", "suggested_mode", "table_name", F.size("selected_columns").cast("long").alias("selected"), "sql_generation_model"
+    )

@@ -84,8 +84,8 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before work that is heavy per row.
 
-    Only inputs with fewer partitions than cores are moved, such as one small
-    file; large inputs already have more and stay where they are.
+    Only rows read from fewer files than there are cores are moved, such as one small file; large
+    inputs have more and stay where they are.  Looking at the list of files starts no job.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df

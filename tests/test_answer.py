@@ -259,3 +259,10 @@ def test_unknown_dataset_is_a_problem_of_its_question(spark, world, questions):
     problems = {r["problem"] for r in output.collect()}
     assert problems == {"Retrieved dataset was not found in the manifest: gone.csv"}
     assert output.count() == metrics.count() == questions.count()
+
+
+def test_prompts_can_name_the_engine(spark):
+    columns = F.array(F.struct(F.lit("id").alias("name"), F.lit("int").alias("type")))
+    make = lambda **more: single_table_prompt(F.lit("q"), F.lit("m"), F.lit("t"), F.lit(1), columns, **more)
+    fixed, named = spark.range(1).select(make().alias("a"), make(dialect="Spark").alias("b")).first()
+    assert "DuckDB" in fixed and "DuckDB" not in named and fixed.replace("DuckDB", "Spark") == named
