@@ -182,7 +182,8 @@ def judge(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     rows; columns other than doc_id, text and lang are ignored.
     """
     measured = stored(measures(docs, vocabulary_file), "measures")
-    joined = measured.join(bands(measured), "band_group", "left")
+    learned = stored(bands(measured), "bands")  # its size is known then, so Spark broadcasts it while it is small
+    joined = measured.join(learned, "band_group", "left")
     scatter = F.greatest(F.lit(1.0), F.sqrt(F.col("usual_words") / F.greatest("n_words", F.lit(1))))
     outside = F.lit(False)
     for m in MEASURES:
