@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabquest.llm.shared import bounded, prepare, spans_of, words_of
+from tabquest.llm.shared import bounded, prepare, release, spans_of, words_of
 
 PART_WORDS = 128
 PASSAGE_WORDS = 2 * PART_WORDS
@@ -263,6 +263,7 @@ def _matching(docs: DataFrame, index: Index, keep_clean: bool) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         matcher = Matcher(shipped.value)
         for whole in batches:
             for batch in bounded(whole, "text"):

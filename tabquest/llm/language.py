@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabquest.llm.shared import bounded, prepare, stored, words_of
+from tabquest.llm.shared import bounded, kept, prepare, stored, words_of
 
 MAX_LANGUAGES = 100
 DOCS_PER_LANGUAGE = 2000
@@ -164,15 +164,9 @@ def _grams(size: int) -> Column:
     return F.filter(found, lambda g: F.length(g["gram"]) == size)
 
 
-_PREDICTORS: dict[str, Predictor] = {}
-
-
 def _predictor(model: Model) -> Predictor:
     """One per worker and model, so that tasks share the vectors that are kept."""
-    if model.key not in _PREDICTORS:
-        _PREDICTORS.clear()
-        _PREDICTORS[model.key] = Predictor(model)
-    return _PREDICTORS[model.key]
+    return kept(model.key, lambda: Predictor(model))
 
 
 def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -84,15 +85,25 @@ def broadcast_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
-_LOADED: dict = {}
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make: Callable[[], object]):
+    """An object that the tasks of one operator share in a worker; another operator's is dropped first."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Drop what an earlier operator has kept in this worker."""
+    _KEPT.clear()
 
 
 def loaded(key: str, content: bytes, load: Callable[[bytes], object]):
-    """One object per worker and file, made when first needed."""
-    found = _LOADED.get(key)
-    if found is None or found[0] != len(content):
-        found = _LOADED[key] = (len(content), load(content))
-    return found[1]
+    """What ``load`` makes of a file, once for the tasks of an operator."""
+    return kept(f"{key} {len(content)} {zlib.crc32(content)}", lambda: load(content))
 
 
 def bounded(batch: pa.RecordBatch, column: str, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:

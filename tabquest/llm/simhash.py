@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tabquest.llm.components import components
-from tabquest.llm.shared import bounded, documents_of, prepare, spans_of, stored, words_of
+from tabquest.llm.shared import bounded, documents_of, prepare, release, spans_of, stored, words_of
 
 # Rows of a tile, and of the matrices that are compared at once.
 TILE_ROWS = 4096
@@ -80,8 +80,9 @@ def _fingerprinted(rows: DataFrame, shingle_words: int, seed: int) -> DataFrame:
     schema = StructType([rows.schema[c] for c in others]).add("fingerprint", "long")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
-            for batch in bounded(whole, "text"):
+            for batch in bounded(whole, "text", 6_000_000):
                 prints = fingerprints(*shingle_hashes(batch.column("text"), shingle_words, seed))
                 columns = [*(batch.column(c) for c in others), pa.array(prints.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [*others, "fingerprint"])
