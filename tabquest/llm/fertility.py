@@ -2,9 +2,11 @@
 
 A public vocabulary measures every document: characters per token, the share of byte-fallback
 tokens, and the entropy of its tokens relative to the most that many tokens can have.  The
-rejection bands come from all documents of a language (of a script where the language is not
-given): median and quartiles of each measure, widened for documents shorter than the usual
-one, whose measures scatter more.
+rejection bands come from the documents of a language (of a script where the language is not
+given) that are about as long, since relative entropy falls with length and short texts scatter
+more: quartiles of each measure, and a half-width that is a multiple of their distance.  Where too
+few documents are about as long, all of the group give the band, widened for documents shorter than
+the usual one.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ from tabquest.llm.shared import PieceIds, bounded, broadcast_file, loaded, prepa
 
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 # Interquartile ranges beyond the quartiles that are still accepted.
-BAND_WIDTH = 6.0
-# The least half-width of a band, as a share of the median or, for the shares, as it is.
-LEAST_WIDTH = {"chars_per_token": 0.25, "byte_share": 0.1, "token_entropy": 0.15}
+BAND_WIDTH = 2.5
+# The least half-width of a band, for groups whose quartiles coincide: as a share of the median or, for the shares, as it is.
+LEAST_WIDTH = {"chars_per_token": 0.05, "byte_share": 0.1, "token_entropy": 0.05}
+# Documents are about as long if the logarithms of their words, in halves of a doubling, have the same whole part.
+CLASSES_PER_DOUBLING = 2
+# Documents that a class of lengths needs for bands of its own.
+LEAST_CLASS = 50
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
@@ -164,30 +170,44 @@ def measures(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     return rows.mapInArrow(run, MEASURE_SCHEMA)
 
 
+def _length_class():
+    return F.floor(CLASSES_PER_DOUBLING * F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Quartiles of each measure over all documents of a group with at least MIN_WORDS words."""
+    """Quartiles of each measure over all documents of a group with at least MIN_WORDS words.
+
+    ``classes`` has them for each class of lengths with LEAST_CLASS documents (null: none has).
+    """
     quartiles = [
         F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(_ACCURACY)).alias(f"{m}_quartiles") for m in MEASURES
     ]
     usual = F.percentile_approx("n_words", F.lit(0.5), F.lit(_ACCURACY)).alias("usual_words")
-    return measured.where(F.col("n_words") >= MIN_WORDS).groupBy("band_group").agg(*quartiles, usual)
+    rows = measured.where(F.col("n_words") >= MIN_WORDS)
+    per_class = rows.groupBy("band_group", _length_class().alias("length_class")).agg(*quartiles, F.count("*").alias("n"))
+    own = F.struct("length_class", F.struct(*[f"{m}_quartiles" for m in MEASURES]))
+    classes = per_class.where(F.col("n") >= LEAST_CLASS).groupBy("band_group").agg(F.map_from_entries(F.collect_list(own)).alias("classes"))
+    return rows.groupBy("band_group").agg(*quartiles, usual).join(classes, "band_group", "left")
 
 
 def judge(docs: DataFrame, vocabulary_file: str) -> DataFrame:
     """Counts, measures, ``base_failed`` and ``kept`` of every row.
 
     ``base_failed``: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT percent of them in
-    repeated windows.  ``kept``: not that, and all measures within the bands of the group.  A null
+    repeated windows.  ``kept``: not that, and all measures within the bands of the group's documents
+that are about as long.  A null
     text has no words and fails.  Repeated rows and null doc_ids stay; an empty table gives no
     rows; columns other than doc_id, text and lang are ignored.
     """
     measured = stored(measures(docs, vocabulary_file), "measures")
     learned = stored(bands(measured), "bands")  # its size is known then, so Spark broadcasts it while it is small
     joined = measured.join(learned, "band_group", "left")
-    scatter = F.greatest(F.lit(1.0), F.sqrt(F.col("usual_words") / F.greatest("n_words", F.lit(1))))
+    own = F.try_element_at("classes", _length_class())
+    short = F.greatest(F.lit(1.0), F.sqrt(F.col("usual_words") / F.greatest("n_words", F.lit(1))))
+    scatter = F.when(own.isNull(), short).otherwise(1.0)
     outside = F.lit(False)
     for m in MEASURES:
-        q = F.col(f"{m}_quartiles")
+        q = F.coalesce(own[f"{m}_quartiles"], f"{m}_quartiles")
         least = LEAST_WIDTH[m] * (q[1] if m == "chars_per_token" else F.lit(1.0))
         width = F.greatest((q[2] - q[0]) * BAND_WIDTH, least) * scatter
         outside = outside | (F.col(m) < q[0] - width) | (F.col(m) > q[2] + width)

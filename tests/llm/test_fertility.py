@@ -1,6 +1,7 @@
 """Counts and measures against brute force; verdicts by bands."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -81,6 +82,25 @@ def test_clean_documents_are_kept(given):
     assert fine.where("kept").count() == fine.count()
 
 
+def test_bands_reject_low_quality(given):
+    found = fertility.judge(given("documents"), FILE).join(given("labels"), "doc_id").where("quality = 0 and not base_failed")
+    assert 2 * found.where("not kept").count() >= found.count() > 0
+
+
+def test_entropy_is_compared_among_documents_about_as_long(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+
+    def text(n, of):
+        return " ".join(rng.choice(words[:of]) for _ in range(n))
+
+    rows = [(i, text(20, 400), "en") for i in range(60)] + [(100 + i, text(400, 400), "en") for i in range(60)]
+    rows += [(1000, text(400, 100), "en")]
+    found = {r["doc_id"]: r for r in rows_of(fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), FILE))}
+    assert not found[1000]["base_failed"] and not found[1000]["kept"]
+    assert sum(not found[i]["kept"] for i in [*range(60), *range(100, 160)]) <= 2
+
+
 def test_no_documents_and_no_lang(no_docs, odd_docs):
     assert fertility.judge(no_docs, FILE).count() == 0
     assert fertility.judge(odd_docs.drop("lang"), FILE).count() == odd_docs.count()
