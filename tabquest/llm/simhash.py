@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from tabquest.llm.components import components
 from tabquest.llm.shared import bounded, documents_of, prepare, release, spans_of, stored, words_of
@@ -34,6 +34,9 @@ _SQUARE = 1024
 _SMALL_CELL = 64
 # Rows that a comparing task holds before it works on them; a cell or tile pair is never cut.
 _CHUNK_ROWS = 200_000
+# Least hashes that make up a band, and bands of a text, for comparison by similarity.
+BAND_HASHES = 4
+BANDS = 20
 
 
 def shingle_hashes(texts: pa.Array, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,30 +280,131 @@ def with_components(docs: DataFrame, shingle_words: int = 3, radius: int = 3, se
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle_words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """Rows of ``docs``, with all their columns, one of each group: the one with the smallest doc_id.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, a hash of the text and the text (not null) of every row."""
+    return docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("check"), F.coalesce("text", F.lit("")).alias("text"))
 
-    A null doc_id comes last; equal ones go by a hash of the text.  Of rows with equal doc_id and
-    text one stays.  Null texts and texts without words form a group.
-    """
-    check = F.xxhash64("text")
-    keyed = docs.select(
-        F.col("doc_id").alias("doc_id"), check.alias("check"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    prints = stored(_fingerprinted(keyed, shingle_words, seed), "prints")
-    groups = near_groups(prints, radius)
+
+def _rows_with(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and hash of the text are in ``keys``."""
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.check"))
+    return docs.alias("d").join(keys.hint("shuffle_hash").alias("k"), same, "left_semi")
+
+
+def _first_of_each(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``docs``, one of each group of fingerprints; ``prints`` has doc_id, check and fingerprint of all."""
     rows = prints.groupBy("fingerprint", "doc_id", "check").agg(F.count("*").alias("n"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check", "n")
     first = rows.groupBy("fingerprint").agg(F.min(order).alias("first"))
     rooted = first.join(groups, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("root"), "first")
     kept = stored(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept")
-
-    def chosen(keys: DataFrame) -> DataFrame:
-        same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.check"))
-        return docs.alias("d").join(keys.hint("shuffle_hash").alias("k"), same, "left_semi")
-
-    single = chosen(kept.where("n = 1"))
+    single = _rows_with(docs, kept.where("n = 1"))
     repeated = kept.where("n > 1")
     if repeated.isEmpty():
         return single
-    return single.unionByName(chosen(repeated).dropDuplicates(["doc_id", "text"]))
+    return single.unionByName(_rows_with(docs, repeated).dropDuplicates(["doc_id", "text"]))
+
+
+def keep_one_of_each(docs: DataFrame, shingle_words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """Rows of ``docs``, with all their columns, one of each group: the one with the smallest doc_id.
+
+    A null doc_id comes last; equal ones go by a hash of the text.  Of rows with equal doc_id and
+    text one stays.  Null texts and texts without words form a group.
+    """
+    prints = stored(_fingerprinted(_keyed(docs), shingle_words, seed), "prints")
+    return _first_of_each(docs, prints, near_groups(prints, radius))
+
+
+# ---- by similarity of the shingles --------------------------------------------
+
+
+def _heads(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with hashes, and where the hashes of each start."""
+    some = np.flatnonzero(counts)
+    return some, (np.cumsum(counts) - counts)[some]
+
+
+def band_keys(hashes: np.ndarray, counts: np.ndarray, seed: int) -> list[np.ndarray]:
+    """For each of BANDS a key of the text's least hashes under BAND_HASHES orders (texts with hashes only)."""
+    _, heads = _heads(counts)
+    rng = np.random.default_rng(seed)
+    keys = []
+    for band in range(BANDS):
+        key = np.full(len(heads), band + 1, np.uint64)
+        for _ in range(BAND_HASHES):
+            flip, factor = rng.integers(0, 1 << 64, 2, np.uint64)
+            if len(heads):
+                key = (key ^ np.minimum.reduceat((hashes ^ flip) * (factor | np.uint64(1)), heads)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+        keys.append(key)
+    return keys
+
+
+def _shingled(rows: DataFrame, words: int, seed: int, what: str) -> DataFrame:
+    """``rows`` with ``fingerprint`` in place of ``text``, a hash of its words, and ``what``: its bands or its distinct shingles."""
+    prepare(rows.sparkSession)
+    others = [c for c in rows.columns if c != "text"]
+    schema = StructType([rows.schema[c] for c in others]).add("fingerprint", "long").add(what, ArrayType(LongType()))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for whole in batches:
+            for batch in bounded(whole, "text", 6_000_000):
+                hashes, counts = shingle_hashes(batch.column("text"), words, seed)
+                ends = np.cumsum(counts)
+                whose = [hashes[e - n : e] for e, n in zip(ends, counts)]
+                prints = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), seed) for h in whose), np.uint64, len(whose))
+                if what == "bands":
+                    sizes = np.where(counts > 0, BANDS, 0)
+                    values = np.stack(band_keys(hashes, counts, seed), axis=1).ravel()
+                else:
+                    whose = [np.unique(h) for h in whose]
+                    sizes = np.array([len(h) for h in whose])
+                    values = np.concatenate(whose)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
+                columns = [*(batch.column(c) for c in others), pa.array(prints.view(np.int64)), lists]
+                yield pa.RecordBatch.from_arrays(columns, [*others, "fingerprint", what])
+
+    return rows.mapInArrow(compute, schema)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose shingles have a Jaccard similarity of at least ``similarity``."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("fingerprint").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """``fingerprint`` and ``root``, one of its group, for fingerprints that are not their own root.
+
+    Texts that share a band are compared: all with the band's first, then those that are not similar
+    to it with all of the band.  Any two that share a band and are similar are linked or both
+    linked to the first, and a band of near copies takes as many comparisons as it has texts.
+    """
+    distinct = prints.groupBy("fingerprint").agg(F.first("bands").alias("bands"))
+    members = distinct.select("fingerprint", F.explode("bands").alias("band"))
+    firsts = members.groupBy("band").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z")).where("a < z").drop("z")
+    members = stored(members.join(firsts, "band").select("band", "a", F.col("fingerprint").alias("b")), "members")
+    wanted = members.select(F.col("b").alias("fingerprint")).distinct()
+    keys = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check")).alias("key"))
+    texts = _rows_with(docs, stored(keys.join(wanted, "fingerprint", "left_semi").select("key.*"), "keys"))
+    sets = stored(_shingled(_keyed(texts), words, seed, "shingles").select("fingerprint", "shingles").dropDuplicates(["fingerprint"]), "sets")
+    links = stored(_confirmed(members.where("a <> b").select("a", "b").distinct(), sets, similarity), "first-links")
+    rest = stored(members.where("a <> b").join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("a")), "rest")
+    pairs = rest.join(members.select("band", "b"), "band").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    further = _confirmed(pairs.distinct(), sets, similarity)
+    return components(links.unionByName(further)).select(F.col("node").alias("fingerprint"), "root")
+
+
+def keep_one_of_similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """Rows of ``docs``, one of each group of texts whose sets of word shingles have that Jaccard similarity.
+
+    Which row stays and how nulls and repeats count is as in ``keep_one_of_each``.  Similarity is
+    exact; two texts of similarity s are compared unless all bands differ, which happens with
+    probability (1 - s ** BAND_HASHES) ** BANDS: 0.00003 at 0.8.
+    """
+    prints = stored(_shingled(_keyed(docs), shingle_words, seed, "bands"), "prints")
+    return _first_of_each(docs, prints.drop("bands"), similar_groups(docs, prints, shingle_words, similarity, seed))

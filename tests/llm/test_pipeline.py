@@ -1,5 +1,7 @@
 """The pipeline on the smallest tables, each stage against brute force over its own input."""
 
+import itertools
+import random
 import sys
 from pathlib import Path
 
@@ -48,6 +50,42 @@ def test_stages(spark, given):
     assert sorted(map(tuple, whole.select(columns).collect())) == sorted(map(tuple, packed.select(columns).collect()))
 
 
+def shingles(text):
+    words = [w.decode() for w in (text or "").encode().lower().split()]
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1)))
+
+
+def test_near_copies_are_those_of_similar_shingles(spark, given):
+    rng = random.Random(5)
+    rows = [(r["doc_id"], r["text"]) for r in rows_of(given("documents").select("doc_id", "text"))]
+    for k in range(30):  # few to many changed words, beside each other: similarities around 0.8; chains of copies
+        words = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        for i in range(3):
+            rows.append((10**6 + 10 * k + i, " ".join(words)))
+            at = rng.randrange(80)
+            words[at : at + 1 + k % 12] = [f"x{rng.randrange(5000)}" for _ in range(1 + k % 12)]
+    rows += [(2 * 10**6 + i, t) for i, t in enumerate([None, "", " ", "one two", "One  two", "one"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for i, text in rows:
+        sets.setdefault(shingles(text), []).append(i)
+    root = {s: s for s in sets}
+
+    def top(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for a, b in itertools.combinations(sets, 2):
+        if 10 * len(a & b) >= 8 * len(a | b):
+            root[top(a)] = top(b)
+    groups = {}
+    for s, own in sets.items():
+        groups.setdefault(top(s), []).extend(own)
+    found = corpus_pipeline.simhash_near_dedup(spark, docs, SF_DIR)
+    assert ids(found) == sorted(min(g) for g in groups.values())
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_with_odd_documents(spark, given, odd_docs, no_docs, k):
     name, stage = corpus_pipeline.STAGES[k]
