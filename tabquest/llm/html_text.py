@@ -2,9 +2,10 @@
 
 The text of a page is cut into leaves; each belongs to its path of block tags from the root.
 For every path the page's text length, punctuation and links are added up.  A path's ratio is
-its text length times punctuation for each leaf; ratios are smoothed over neighbouring leaves and
-fused with that of the container around them (a heading or a short paragraph counts with its
-article), and the paths above a threshold hold the content.  Subtrees that are menus, headers,
+the mean text length of its leaves times their mean punctuation, whatever their number; ratios are
+smoothed over neighbouring leaves and fused with that of the container around them (a heading or a
+short paragraph counts with its article), and the paths above a threshold and those below a
+container above it hold the content.  Subtrees that are menus, headers,
 footers, sidebars, notices, adverts, forms or comments by their tag, role, class or id never count.
 """
 
@@ -203,20 +204,25 @@ def _container(path: tuple[str, ...]) -> tuple[str, ...]:
     return path[:-1] if path and path[-1].split(".")[0] in TEXT_TAGS else path
 
 
-def content_paths(found: list[tuple]) -> set[tuple[str, ...]]:
-    """Paths that hold the content: the ratios of a page's blocks, smoothed, fused and cut."""
-    inside = [(p, t, n) for p, t, other, n in found if not other]
-    if not inside:
-        return set()
+def _ratios(inside: list[tuple]) -> tuple[dict[tuple, list[float]], dict[tuple, float]]:
+    """Sums (blocks, characters, punctuation, characters in links) and ratio of every path."""
     sums: dict[tuple, list[float]] = {}
-    for path, text, linked in inside:
+    for path, text, _, linked in inside:
         own = sums.setdefault(path, [0, 0, 0, 0])
         for k, value in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), min(linked, len(text)))):
             own[k] += value
-    ratio = {p: (chars - linked) * (1 + marks) / n for p, (n, chars, marks, linked) in sums.items()}
-    raw = [ratio[p] for p, _, _ in inside]
+    return sums, {p: (chars - linked) / n * (1 + marks / n) for p, (n, chars, marks, linked) in sums.items()}
+
+
+def content_paths(found: list[tuple]) -> set[tuple[str, ...]]:
+    """Paths that hold the content: the ratios of a page's blocks, smoothed, fused and cut."""
+    inside = [b for b in found if not b[2]]
+    if not inside:
+        return set()
+    sums, ratio = _ratios(inside)
+    raw = [ratio[b[0]] for b in inside]
     smooth = {p: 0.0 for p in sums}
-    for i, (path, _, _) in enumerate(inside):
+    for i, (path, *_) in enumerate(inside):
         near = raw[max(0, i - 1) : i + 2]
         smooth[path] = max(smooth[path], sum(near) / len(near))
     held: dict[tuple, float] = {}
@@ -224,22 +230,33 @@ def content_paths(found: list[tuple]) -> set[tuple[str, ...]]:
         held[_container(path)] = max(held.get(_container(path), 0.0), ratio[path])
     highest = max(held.values())
     article = {p for p, r in held.items() if r >= THRESHOLD * highest}
+    # Below the body is every block, so there only those that are text by their tag count without a ratio of their own.
+    deep = {a for a in article if a and a[-1].split(".")[0] not in ("html", "body")}
     chosen = set()
     for path, (n, chars, _, linked) in sums.items():
         fused = max(smooth[path] if path in article or _container(path) in article else ratio[path], held[_container(path)])
-        below = any(path[: len(a)] == a for a in article if a)
+        of_text = path and path[-1].split(".")[0] in TEXT_TAGS
+        below = any(path[: len(a)] == a for a in (article if of_text else deep) if a)
         if linked > MOST_LINKED * chars or not chars:
             continue
-        if fused >= THRESHOLD * highest or (below and path[-1].split(".")[0] in TEXT_TAGS):
+        if fused >= THRESHOLD * highest or below:
             chosen.add(path)
     return chosen
 
 
 def main_text(page: str) -> str:
-    """The blocks of the content paths, joined by one space; a page that marks its article has only that."""
-    found = blocks(page)
-    marked = [b for b in found if any(s.split(".")[0] in ("article", "main") for s in b[0]) and not b[2]]
-    found = marked or found
+    """The blocks of the content paths, joined by one space.
+
+    Where a page marks an article, only marked text counts, unless unmarked text has a higher ratio
+    (the marked one is a teaser, say): then all does.
+    """
+    found = [b for b in blocks(page) if not b[2]]
+    marked = [b for b in found if any(s.split(".")[0] in ("article", "main") for s in b[0])]
+    if marked and len(marked) < len(found):
+        ratio = _ratios(found)[1]
+        of_marked = {b[0] for b in marked}
+        if max(ratio[p] for p in of_marked) >= max(r for p, r in ratio.items() if p not in of_marked):
+            found = marked
     chosen = content_paths(found)
     return " ".join(text for path, text, other, _ in found if not other and path in chosen)
 

@@ -33,6 +33,23 @@ def test_layouts(name):
     assert html_text.main_text(page) == f"Flood {P1} {P2} {P3}"
 
 
+@pytest.mark.parametrize("n", [1, 6, 19, 184])
+def test_blocks_of_any_tag_inside_long_articles(n):
+    lead, quote, note = "The town held its breath", "We were lucky, they said.", "Photo of the bridge"
+    rest = [f"{P1} {P2}"] * n
+    page = f"<article><h1>Flood</h1><div class=lead>{lead}</div><p>{'</p><p>'.join(rest)}</p><section>{quote}</section><figure>{note}</figure>"
+    menu = "<div><a href=/>Back to the list</a></div>"
+    text = " ".join(["Flood", lead, *rest, quote, note])
+    assert html_text.main_text(f"<html><body>{page}{menu}</article></body></html>") == text
+    unmarked = page.replace("<article>", "<div class=text>")
+    assert html_text.main_text(f"<html><body>{unmarked}{menu}</div><div>All rights kept</div></body></html>") == text
+
+
+def test_unmarked_text_beside_a_marked_teaser():
+    page = f"<html><body><div id=text><h1>Flood</h1><p>{P1}</p><p>{P2}</p></div><article><p>See it</p></article></body></html>"
+    assert html_text.main_text(page) == f"Flood {P1} {P2}"
+
+
 def test_references_and_white_space():
     page = "<article><p>A &amp; B&nbsp;&#8211;\n\n  C &lt;d&gt;,\t e &copy x.<br>F</p><p>G, h.</p></article>"
     assert html_text.main_text(page) == "A & B – C <d>, e © x. F G, h."
