@@ -84,7 +84,7 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in _emails(text):
         yield "email", start, end
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
             yield "ip", *m.span()
     for m in _CARD.finditer(text):
         digits = _digits(m[0])

@@ -46,6 +46,13 @@ def test_base_spans_equal_the_patterns(text):
     assert base_of(text) == plain_base(text)
 
 
+def test_parts_of_an_address_may_have_any_number_of_zeros():
+    zeros = "0" * 5000
+    assert base_of(f"{zeros}.0.0.0") == [("ip", 0, 5006)]
+    assert base_of(f"a 1.{zeros}255.{zeros}.7") == [("ip", 2, 2 + 5003 + 5002 + 3)]
+    assert base_of(f"1.2.3.{zeros}256") == []
+
+
 def test_documents(spark, given):
     by_id = {r["doc_id"]: r["text"] for r in rows_of(given("documents"))}
     found = rows_of(op6_pii(spark, SF_DIR))
