@@ -380,9 +380,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
 def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
     """``fingerprint`` and ``root``, one of its group, for fingerprints that are not their own root.
 
-    Texts that share a band are compared: all with the band's first, then those that are not similar
-    to it with all of the band.  Any two that share a band and are similar are linked or both
-    linked to the first, and a band of near copies takes as many comparisons as it has texts.
+    Texts that share a band are compared: all with the band's first, then those that are not in its
+    group so far with all of the band that are in other groups.  So any two that share a band and are
+    similar end up in one group, and a band of near copies takes about as many comparisons as it has texts.
     """
     distinct = prints.groupBy("fingerprint").agg(F.first("bands").alias("bands"))
     members = distinct.select("fingerprint", F.explode("bands").alias("band"))
@@ -393,8 +393,14 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
     texts = _rows_with(docs, stored(keys.join(wanted, "fingerprint", "left_semi").select("key.*"), "keys"))
     sets = stored(_shingled(_keyed(texts), words, seed, "shingles").select("fingerprint", "shingles").dropDuplicates(["fingerprint"]), "sets")
     links = stored(_confirmed(members.where("a <> b").select("a", "b").distinct(), sets, similarity), "first-links")
-    rest = stored(members.where("a <> b").join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("a")), "rest")
-    pairs = rest.join(members.select("band", "b"), "band").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    roots = stored(components(links), "roots")
+    for side in ("a", "b"):
+        found = roots.select(F.col("node").alias(side), F.col("root").alias("found"))
+        members = members.join(found, side, "left").withColumn(f"{side}_root", F.coalesce("found", side)).drop("found")
+    members = stored(members, "rooted")
+    rest = members.where("a_root <> b_root").select("band", F.col("b").alias("a"), F.col("b_root").alias("a_root"))
+    pairs = rest.join(members.select("band", "b", "b_root"), "band").where("a_root <> b_root")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     further = _confirmed(pairs.distinct(), sets, similarity)
     return components(links.unionByName(further)).select(F.col("node").alias("fingerprint"), "root")
 
