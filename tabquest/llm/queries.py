@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabquest.llm import (
+    alignment,
     decontaminate,
     fertility,
     html_text,
     language,
     packing,
     pii,
+    secrets,
     simhash,
+    spelling,
     token_counts,
     token_files,
     toxicity,
@@ -108,3 +111,25 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, fertility measures and verdict of all documents."""
     return fertility.judge(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+@register
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: counts and a digest of the base kinds, and all spans."""
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    counts = [secrets.count_kind("spans", kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS]
+    base = F.sha2(secrets.span_text("spans", secrets.BASE_KINDS), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.span_text("spans").alias("spans"))
+
+
+@register
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the form they are a variant of."""
+    return spelling.variant_groups(documents(spark, sf_dir), least_letters=7, least_count=2, ratio=10, drop_every=31)
+
+
+@register
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of all documents between a byte-level and a piece vocabulary."""
+    files = [tokenizer_path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(documents(spark, sf_dir), *files)[0]
