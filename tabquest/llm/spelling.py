@@ -61,7 +61,7 @@ def word_counts(docs: DataFrame, least_letters: int = 7, least_count: int = 2, d
 def bigram_counts(words: DataFrame) -> dict[str, int]:
     """In how many places of distinct words each bigram occurs; the alphabet bounds their number."""
     letters = words.where(F.length("word") > 1).select(F.split("word", "").alias("letters"))
-    grams = F.zip_with("letters", F.slice("letters", F.lit(2), F.size("letters")), F.concat)
+    grams = F.zip_with("letters", F.slice("letters", F.lit(2), F.size("letters")), lambda a, b: F.concat(a, b))
     counts = letters.select(F.explode(grams).alias("gram")).where("gram IS NOT NULL").groupBy("gram").agg(F.count("*").alias("n"))
     return {r["gram"]: r["n"] for r in counts.limit(MAX_BIGRAMS + 1).collect()}
 
