@@ -27,6 +27,8 @@ from tabquest.llm.encoders import byte_encoder
 from tabquest.llm.shared import bounded, broadcast_file, documents_of, prepare, stored
 from tabquest.session import small_table
 
+# Bytes of text that a task encodes at once.
+SLICE_BYTES = 4_000_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, part int, place long"
 PLAN_SCHEMA = "length long, first_rank long, last_rank long, first_sequence long, per_sequence long, first_offset long"
 
@@ -47,10 +49,10 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
         for whole in batches:
-            for batch in bounded(whole, "text"):
+            for batch in bounded(whole, "text", SLICE_BYTES):
                 ids, counts = encoder(batch.column("text"))
                 ends = np.cumsum(counts)
-                raw = ids.astype("<u4")
+                raw = ids.astype("<u4", copy=False)
                 end = np.array([end_id], "<u4").tobytes()
                 rows = []
                 for doc_id, first, n in zip(batch.column("doc_id").to_pylist(), ends - counts, counts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -91,14 +93,19 @@ _KEPT: dict[str, object] = {}
 def kept(key: str, make: Callable[[], object]):
     """An object that the tasks of one operator share in a worker; another operator's is dropped first."""
     if key not in _KEPT:
-        _KEPT.clear()
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def release() -> None:
-    """Drop what an earlier operator has kept in this worker."""
+    """Drop what an earlier operator has kept in this worker and give its memory back to the system."""
     _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's allocator keeps freed pages otherwise
+    if trim:
+        trim(0)
 
 
 def loaded(key: str, content: bytes, load: Callable[[bytes], object]):
