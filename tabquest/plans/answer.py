@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabquest import fixed_values as fv
 from tabquest.functions.names import strip
 from tabquest.functions.vectors import Encoder
-from tabquest.operators import lookups
+from tabquest.operators import lookups, shared_scan
 from tabquest.operators.audit import audit, generated_problem, quoted_identifiers, sanity_problem
 from tabquest.operators.columns import ranked_columns, select_columns, shown, with_schemas
 from tabquest.operators.metrics import build_records
@@ -176,38 +176,73 @@ def run_accepted(
 ) -> tuple[DataFrame, DataFrame]:
     """Run every valid query and return ``(results, outcomes)``, both read from written tables.
 
-    Executors cannot start queries, so the driver walks the distinct valid texts, a few at a
-    time.  Each text runs once, whatever the number of questions that share it, as a distributed
-    job that writes its at most ``limit`` rows to a folder of its own; running again replaces that
-    folder.  An outcome's ``engine_error`` says that Spark did not accept the query,
-    ``run_error`` that it failed while it ran.
+    Each distinct text is answered once, whatever the number of questions that share it.  The driver
+    walks the texts, a thousand at a time, and lets Spark analyse them.  Plain queries of one
+    table are answered together from shared scans of it; any other text, and those of a shared job
+    that fails, run as a job of their own, a few at a time, each into a folder of its own.  An outcome's
+    ``engine_error`` says that Spark did not accept the query, ``run_error`` that it failed while it
+    ran; ``sql_execution`` is the time of the job that answered it.
     """
     folder = work_dir(spark, "answers")
     outcome_schema = "query string, engine_error string, run_error string, sql_execution double"
     query_of = F.concat(F.lit("q"), F.sha2("normalized_sql", 256)).alias("query")
     valid = audited.filter("is_valid").select("question_id", "normalized_sql", query_of)
 
-    def run(row) -> tuple:
-        started, rejected, failed = time.perf_counter(), None, None
+    def since(started: float) -> float:
+        return (time.perf_counter() - started) * 1000.0
+
+    def analysed(row) -> tuple:
+        """The row with its shared form, if it has one, or the error that Spark finds."""
+        started = time.perf_counter()
+        try:
+            schema = spark.sql(row["normalized_sql"]).schema
+        except (AnalysisException, ParseException) as error:
+            return row, None, (row["query"], str(error), None, since(started))
+        clauses = shared_scan.clauses_of(row["normalized_sql"])
+        query = shared_scan.Query(row["query"], clauses, schema) if clauses else None
+        return row, query if query and shared_scan.compiled(spark, query) else None, None
+
+    def run_alone(row) -> tuple:
+        started, failed = time.perf_counter(), None
         try:
             found = result_records(spark.sql(row["normalized_sql"]), limit)
             found.select(F.monotonically_increasing_id().alias("position"), "record").write.mode("overwrite").parquet(
                 f"{folder}/results/query={row['query']}"
             )
-        except (AnalysisException, ParseException) as error:
-            rejected = str(error)
         except Exception as error:  # a failing query becomes an outcome, not a failed batch
             failed = str(error)
-        return row["query"], rejected, failed, (time.perf_counter() - started) * 1000.0
+        return row["query"], None, failed, since(started)
+
+    def run_shared(job: tuple) -> tuple[list, list]:
+        """Outcomes of a shared job, or the tags of its queries if it fails."""
+        number, (queries, found) = job
+        started = time.perf_counter()
+        try:
+            found.write.mode("overwrite").parquet(f"{folder}/shared/job={number}")
+        except Exception:  # which query fails shows when each runs alone
+            small_table(spark, [], "query string, position long, record string").write.mode("overwrite").parquet(f"{folder}/shared/job={number}")
+            return [], [q.tag for q in queries]
+        return [(q.tag, None, None, since(started)) for q in queries], []
 
     texts = valid.select("query", "normalized_sql").distinct()
     small_table(spark, [], outcome_schema).write.parquet(f"{folder}/outcomes/group=0")
     small_table(spark, [], "position long, record string").write.parquet(f"{folder}/results/query=none")
+    small_table(spark, [], "query string, position long, record string").write.parquet(f"{folder}/shared/job=none")
     with quoted_identifiers(spark), ThreadPoolExecutor(at_once) as pool:
         for number, group in enumerate(batched(texts.toLocalIterator(), 1000), start=1):
-            outcomes = small_table(spark, list(pool.map(run, group)), outcome_schema)
-            outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/group={number}")
-    rows = spark.read.schema("position long, record string, query string").parquet(f"{folder}/results")
+            looked_at = list(pool.map(analysed, group))
+            shared = [query for _, query, _ in looked_at if query]
+            jobs = ((f"{number}-{i}", job) for i, job in enumerate(shared_scan.passes(spark, shared, limit)))
+            done = list(pool.map(run_shared, jobs))
+            again = {tag for _, tags in done for tag in tags}
+            alone = [row for row, query, error in looked_at if not error and (not query or query.tag in again)]
+            outcomes = [error for _, _, error in looked_at if error] + [o for found, _ in done for o in found]
+            outcomes += pool.map(run_alone, alone)
+            small_table(spark, outcomes, outcome_schema).write.mode("overwrite").parquet(f"{folder}/outcomes/group={number}")
+    names = ("position", "record", "query")
+    rows = spark.read.schema("position long, record string, query string").parquet(f"{folder}/results").select(*names)
+    together = spark.read.schema("query string, position long, record string").parquet(f"{folder}/shared").select(*names)
+    rows = rows.unionByName(together)
     counts = rows.groupBy("query").agg(F.count("*").alias("row_count_returned"))
     outcomes = spark.read.schema(outcome_schema).parquet(f"{folder}/outcomes").join(counts, "query", "left")
     fine = F.col("engine_error").isNull() & F.col("run_error").isNull()

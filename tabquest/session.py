@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,11 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=types), target)
 
 
+def batched_by(values: Sequence, n: int) -> Iterator[Sequence]:
+    """Slices of at most ``n`` values."""
+    return (values[i : i + n] for i in range(0, len(values), n))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores before work that is heavy per row.
 
