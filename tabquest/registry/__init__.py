@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabquest.registry import audit, metrics, retrieval, tables, text
+from tabquest.registry import audit, metrics, plans, retrieval, tables, text
 
-_GROUPS = (tables, text, retrieval, audit, metrics)
+_GROUPS = (tables, text, retrieval, audit, metrics, plans)
 
 
 def all_queries() -> dict:
