@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tabquest.operators import relationships
 from tabquest.operators.audit import audit
 from tabquest.operators.evaluation import POISSON_STEPS, evaluate
 from tabquest.plans.answer import run_accepted
 from tabquest.plans.structured import PLAN_SCHEMA, check_plans, run_plans
-from tabquest.registry.common import given_catalog, registrar, table
+from tabquest.registry.common import TABLES, given_catalog, given_tables, registrar, table
+from tabquest.session import small_table
 from tabquest.sources.tables import catalog_of
 
 QUERIES, ORACLES = {}, {}
@@ -158,3 +160,65 @@ def evaluation(spark, sf_dir):
     )
     rounded = {c: F.round(c, 6) for c in ("estimate", "low", "high")}
     return evaluate(runs, samples=40, level=0.9).withColumns(rounded)
+
+
+# Which columns of the given tables may be joined.
+_RELATIONSHIPS = [
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("documents", "doc_id", "labels", "doc_id"),
+]
+_EDGES_SQL = "edges(lt, lc, rt, rc) AS (VALUES " + ", ".join(
+    f"('{a}', '{b}', '{c}', '{d}'), ('{c}', '{d}', '{a}', '{b}')" for a, b, c, d in _RELATIONSHIPS
+) + ")"
+_PAIR = [f"element_at(array({', '.join(repr(t) for t in TABLES)}), CAST({key} % {len(TABLES)} AS int) + 1)" for key in ("p_partkey", "p_size")]
+_PAIR_SQL = [f"([{', '.join(repr(t) for t in TABLES)}])[{key} % {len(TABLES)} + 1]" for key in ("p_partkey", "p_size")]
+
+
+@register(
+    "join_paths",
+    f"""WITH RECURSIVE {_EDGES_SQL},
+walks(first, here, seen, path) AS (
+  SELECT DISTINCT lt, lt, [lt], CAST([] AS VARCHAR[]) FROM edges
+  UNION ALL
+  SELECT first, rt, list_append(seen, rt), list_append(path, lt || '.' || lc || '=' || rt || '.' || rc)
+  FROM walks JOIN edges ON here = lt WHERE NOT list_contains(seen, rt) AND len(path) < 8),
+best AS (SELECT first, here, path FROM walks QUALIFY row_number() OVER (PARTITION BY first, here ORDER BY len(path), path) = 1),
+asked AS (SELECT p_partkey AS request_id, {_PAIR_SQL[0]} AS s, {_PAIR_SQL[1]} AS e FROM part)
+SELECT request_id, CASE WHEN s = e THEN '' ELSE array_to_string(path, '|') END AS path,
+       CASE WHEN s <> e AND path IS NULL THEN 'no allowed relationship leads from ' || s || ' to ' || e END AS problem
+FROM asked LEFT JOIN best ON s = first AND e = here""",
+)
+def paths_between_tables(spark, sf_dir):
+    """The shortest allowed path between two tables for every part."""
+    asked = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("request_id"), F.expr(_PAIR[0]).alias("start_table"), F.expr(_PAIR[1]).alias("end_table")
+    )
+    found = relationships.join_paths(asked, small_table(spark, _RELATIONSHIPS, relationships.RELATIONSHIP_SCHEMA))
+    return found.select("request_id", relationships.path_text(F.col("path")).alias("path"), "problem")
+
+
+@register(
+    "joined_answers",
+    """SELECT n_name AS nation, count(*) AS n_lines, CAST(sum(l_quantity) AS BIGINT) AS quantity, count(DISTINCT o_custkey) AS customers
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+       WHERE n_regionkey IN (1, 2) AND c_acctbal > 0 GROUP BY 1""",
+)
+def joined_answers(spark, sf_dir):
+    """Lines per nation of customers, over the path that the allowed relationships give."""
+    allowed = [r for r in _RELATIONSHIPS if "supplier" not in r]
+    return relationships.joined_answer(
+        spark,
+        given_tables(spark, sf_dir),
+        small_table(spark, allowed, relationships.RELATIONSHIP_SCHEMA),
+        "lineitem",
+        "nation",
+        group_by={"nation": "nation.n_name"},
+        aggregates={
+            "n_lines": F.count("*"),
+            "quantity": F.sum("`lineitem.l_quantity`").cast("long"),
+            "customers": F.countDistinct("`orders.o_custkey`"),
+        },
+        filters={"nation": "n_regionkey IN (1, 2)", "customer": "c_acctbal > 0"},
+    )
