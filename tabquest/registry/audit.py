@@ -9,7 +9,8 @@ from tabquest.functions.sqltext import strip_quoted_content
 from tabquest.operators.audit import audit, guarded_sql, sanity_problem, violation_rows
 from tabquest.operators.lookups import sql_input
 from tabquest.operators.single_table import result_records, result_summary
-from tabquest.registry.common import quoted, registrar, table
+from tabquest.plans.validate import validation_report
+from tabquest.registry.common import given_manifest, quoted, registrar, table
 from tabquest.session import configure, work_dir
 from tabquest.sources.metadata import read_payloads
 from tabquest.streaming.audit import start_audit_stream
@@ -195,3 +196,29 @@ def audit_stream(spark, sf_dir):
     arriving = spark.readStream.schema("query_id long, sql string, expected_table string").json(f"{folder}/in")
     start_audit_stream(arriving, f"{folder}/out", f"{folder}/state").awaitTermination()
     return violation_rows(spark.read.parquet(f"{folder}/out"), "query_id")
+
+
+# The table may be named by the payload, the generated query, the argument or, as a dataset, by the manifest.
+_NAMED_CASE = "CASE p_partkey % 4 WHEN 1 THEN 'PART' WHEN 2 THEN '' WHEN 3 THEN 'part' END"
+
+
+@register(
+    "validation_report",
+    f"""WITH {_RULES_SQL}, counts AS (SELECT query_id, string_agg(violation, '|' ORDER BY rule) AS violations FROM found GROUP BY 1)
+        SELECT query_id AS input_id, normalized_sql, nullif(expected, '') AS expected_table, array_to_string(tables, '|') AS detected_tables,
+               coalesce(violations, '') AS violations, violations IS NULL AS is_valid
+        FROM tabled LEFT JOIN counts USING (query_id)""",
+)
+def validation_of_inputs(spark, sf_dir):
+    """Inputs whose SQL and table come from different places, validated together."""
+    part = table(spark, sf_dir, "part")
+    sql_at = {f"{name}": f"CASE WHEN p_partkey % 3 = {i} THEN {_TEXT_CASE} END" for i, name in enumerate(("query", "file_text", "generated_sql"))}
+    inputs = part.select(
+        F.col("p_partkey").alias("input_id"),
+        *[F.expr(text).alias(name) for name, text in sql_at.items()],
+        *[F.expr(f"CASE WHEN p_partkey % 5 = {i} THEN {_NAMED_CASE} END").alias(n) for i, n in enumerate(("payload_table", "generated_table"))],
+        F.expr(f"CASE WHEN p_partkey % 5 >= 2 THEN {_NAMED_CASE} END").alias("table_name"),
+    )
+    report = validation_report(inputs, given_manifest(spark))
+    joined = {c: F.array_join(c, "|") for c in ("detected_tables", "violations")}
+    return report.withColumns(joined)
