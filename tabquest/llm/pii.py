@@ -2,8 +2,8 @@
 
 Kinds whose pattern and check suffice (email, ip, card, phone) are always reported.  Further
 ones (iban, ssn, local_phone) are reported if their score reaches ``LEAST_SCORE``: the pattern gives
-a part of it, a passed check sum (mod 97 for an IBAN) or a word of the kind within
-``CONTEXT_CHARS`` code points before the span the rest; words that speak against it take some away.
+a part of it, a passed check sum (mod 97 over an IBAN of its country's length) or a word of the kind within
+``CONTEXT_CHARS`` code points before or behind the span the rest; words before it that speak against it take some away.
 """
 
 from __future__ import annotations
@@ -30,7 +30,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Patterns of the further kinds.
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+# Length of an IBAN by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_IBAN = {n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\)|0[0-9]{1,4})[ /-]?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}(?![0-9])")
 _CANDIDATE = "[0-9@]"
@@ -97,9 +107,10 @@ def _base(text: str) -> Iterator[tuple[str, int, int]]:
 
 def _further(text: str) -> Iterator[tuple[str, int, int, float]]:
     """With what the check adds to the score."""
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
+    for head in _IBAN_HEAD.finditer(text):
+        length = IBAN_LENGTHS.get(head[0][:2])
+        m = _IBAN[length].match(text, head.start()) if length else None
+        if m and mod97(m[0].replace(" ", "")):
             yield "iban", *m.span(), 0.5
     for m in _SSN.finditer(text):
         yield "ssn", *m.span(), 0.0
@@ -108,9 +119,10 @@ def _further(text: str) -> Iterator[tuple[str, int, int, float]]:
             yield "local_phone", *m.span(), 0.0
 
 
-def _context(text: str, kind: str, start: int) -> float:
+def _context(text: str, kind: str, start: int, end: int) -> float:
     words = _WORD.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())
-    score = 0.4 if any(w.startswith(_FOR[kind]) for w in words) else 0.0
+    behind = _WORD.findall(text[end : end + CONTEXT_CHARS].lower())
+    score = 0.4 if any(w.startswith(_FOR[kind]) for w in words + behind) else 0.0
     return score - (0.2 if any(w in _AGAINST for w in words) else 0.0)
 
 
@@ -118,10 +130,10 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind as listed, then start; ends are exclusive, in code points."""
     spans = []
     for kind, start, end in _base(text):
-        spans.append((kind, start, end, min(1.0, max(LEAST_SCORE, _BASE_SCORE[kind] + _context(text, kind, start)))))
+        spans.append((kind, start, end, min(1.0, max(LEAST_SCORE, _BASE_SCORE[kind] + _context(text, kind, start, end)))))
     taken = [(s, e) for _, s, e, _ in spans]
     for kind, start, end, checked in _further(text):
-        score = min(1.0, _BASE_SCORE[kind] + checked + _context(text, kind, start))
+        score = min(1.0, _BASE_SCORE[kind] + checked + _context(text, kind, start, end))
         if score >= LEAST_SCORE and not any(s < end and start < e for s, e in taken):
             spans.append((kind, start, end, score))
             taken.append((start, end))

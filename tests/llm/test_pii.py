@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from hypothesis import given as for_all
 from hypothesis import settings
 from hypothesis import strategies as st
@@ -103,3 +104,26 @@ def test_masking(given, odd_docs, no_docs):
 
 def test_overlapping_spans_become_one():
     assert pii.masked("abcdefgh", [("card", 2, 5, 1.0), ("ip", 3, 7, 1.0)]) == "ab<CARD>h"
+
+
+@pytest.mark.parametrize(
+    "text, start, end",
+    [
+        ("IBAN DE89370400440532013000 BIC COBADEFF", 5, 27),
+        ("DE89 3704 0044 0532 0130 00 AND MORE", 0, 27),
+        ("GB82WEST12345698765432 PLEASE PAY", 0, 22),
+        ("to NO93 8601 1117 947.", 3, 21),
+    ],
+)
+def test_an_iban_ends_where_its_country_says(text, start, end):
+    assert [s[:3] for s in pii.find_spans(text) if s[0] == "iban"] == [("iban", start, end)]
+
+
+@pytest.mark.parametrize("text", ["DE89370400440532013001 X", "DE8937040044053201300 X", "ZZ89370400440532013000", "xDE89370400440532013000", "DE89370400440532013000A"])
+def test_no_iban(text):
+    assert "iban" not in [s[0] for s in pii.find_spans(text)]
+
+
+def test_context_on_either_side():
+    assert [s[0] for s in pii.find_spans("123-45-6789 is my social security number")] == ["ssn"]
+    assert pii.find_spans("123-45-6789 is a number") == []
