@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabquest.registry import audit, metrics, plans, retrieval, tables, text
+from tabquest.registry import audit, metrics, plans, retrieval, search, tables, text
 
-_GROUPS = (tables, text, retrieval, audit, metrics, plans)
+_GROUPS = (tables, text, retrieval, audit, metrics, plans, search)
 
 
 def all_queries() -> dict:
