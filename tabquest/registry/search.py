@@ -1,8 +1,11 @@
-"""Registered searches for columns and the SQL they are compared with."""
+"""Registered column search and refresh plan, and the SQL they are compared with."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabquest.operators import column_search
+from tabquest.plans import refresh
 from tabquest.registry.common import (
     CATALOG_SQL,
     COLUMNS,
@@ -16,6 +19,7 @@ from tabquest.registry.common import (
     questions,
     quoted,
     registrar,
+    table,
     tokens_sql,
 )
 from tabquest.session import materialise, small_table, work_dir
@@ -78,3 +82,23 @@ def columns_for_questions(spark, sf_dir):
     path = work_dir(spark, "column-index")
     column_search.write_index(column_search.postings(given_catalog(spark, sf_dir), values, descriptions), path)
     return column_search.search(questions(spark, sf_dir), path)
+
+
+@register(
+    "refresh_plan",
+    """WITH before AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey <> 3 GROUP BY 1),
+now AS (SELECT c_nationkey AS k, count(*) AS n, bool_or(k % 5 = 1 AND c_acctbal < 0) AS changed FROM customer WHERE c_nationkey <> 7 GROUP BY 1)
+SELECT 'c_nationkey=' || coalesce(b.k, a.k) AS file_path, b.n AS lines_before, a.n AS lines_after,
+       CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'removed' WHEN changed THEN 'changed' ELSE 'unchanged' END AS status
+FROM before b FULL JOIN now a ON a.k = b.k""",
+)
+def refresh_by_content(spark, sf_dir):
+    """Two versions of the customers, one CSV dataset per nation: what a refresh has to profile again."""
+    customers = table(spark, sf_dir, "customer")
+    mended = F.when((F.col("c_nationkey") % 5 == 1) & (F.col("c_acctbal") < 0), 0.0).otherwise(F.col("c_acctbal"))
+    digests = []
+    for rows in (customers.where("c_nationkey <> 3"), customers.where("c_nationkey <> 7").withColumn("c_acctbal", mended)):
+        path = work_dir(spark, "datasets")
+        rows.write.partitionBy("c_nationkey").csv(path)
+        digests.append(refresh.content_digests(refresh.folder_lines(spark, path)))
+    return refresh.refresh_plan(digests[1], digests[0]).drop("digest")
