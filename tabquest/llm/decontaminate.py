@@ -11,8 +11,9 @@ at once.  For the others, block-max WAND walks the posting lists of the rarer te
 finds is scored in full.  At last the retrieved parts' word 5-grams are looked up in the passage:
 the question (all but the last sentence) and the answer (the last one) must both overlap.
 
-The index is broadcast.  Its items are read in shards of at most ``SHARD_BYTES`` bytes of text, and a
-benchmark of many shards is matched shard by shard.
+The index is broadcast.  Its items are read in shards of about ``SHARD_BYTES`` bytes of text, and a
+benchmark of many shards is matched shard by shard.  Document frequencies and the average length are
+counted by Spark over all parts of the benchmark, so scores do not depend on the shards.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabquest.llm.shared import bounded, prepare, release, spans_of, words_of
+from tabquest.llm.shared import bounded, prepare, release, spans_of, stored, words_of
 
 PART_WORDS = 128
 PASSAGE_WORDS = 2 * PART_WORDS
@@ -60,6 +62,41 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
+def parts_of(text: str) -> list[tuple[list[str], list[str]]]:
+    """Question and answer words of each part of an item that has any."""
+    question, answer = question_and_answer(text)
+    words = [(w, 0) for w in question] + [(w, 1) for w in answer]
+    step = PART_WORDS // 2 if len(words) > PART_WORDS else PART_WORDS
+    parts = []
+    for first in range(0, max(1, len(words) - (PART_WORDS - step)), step):
+        sides: tuple[list[str], list[str]] = ([], [])
+        for word, side in words[first : first + PART_WORDS]:
+            sides[side].append(word)
+        if sides[0] or sides[1]:
+            parts.append(sides)
+    return parts
+
+
+@dataclass
+class Statistics:
+    """Of all parts: how many there are, their words, and how many hold each of the terms at hand."""
+
+    parts: int
+    words: int
+    frequency: dict[str, int]
+
+
+def statistics_of(texts: Iterable[str]) -> Statistics:
+    """Counted over the given items."""
+    found = Statistics(0, 0, Counter())
+    for text in texts:
+        for question, answer in parts_of(text):
+            found.parts += 1
+            found.words += len(question) + len(answer)
+            found.frequency.update({*question, *answer})
+    return found
+
+
 class _Postings:
     """Parts that hold a term, ascending, with weights, and the highest weight of each block."""
 
@@ -76,33 +113,24 @@ class _Postings:
 
 
 class Index:
-    """BM25 index over the parts of test items."""
+    """BM25 index over the parts of test items; without ``statistics`` these are all of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None):
+        counted = statistics or statistics_of(text for _, text in items)
         self.term_ids: dict[str, int] = {}
-        self.items: list[int] = []
+        self.items: list[int | None] = []
         self.texts: list[tuple[list[int], list[int]]] = []  # question and answer words of each part
         for item_id, text in items:
-            question, answer = question_and_answer(text)
-            words = [(w, 0) for w in question] + [(w, 1) for w in answer]
-            step = PART_WORDS // 2 if len(words) > PART_WORDS else PART_WORDS
-            for first in range(0, max(1, len(words) - (PART_WORDS - step)), step):
-                sides: tuple[list[int], list[int]] = ([], [])
-                for word, side in words[first : first + PART_WORDS]:
-                    sides[side].append(self.term_ids.setdefault(word, len(self.term_ids)))
-                if sides[0] or sides[1]:
-                    self.items.append(item_id)
-                    self.texts.append(sides)
+            for sides in parts_of(text):
+                self.items.append(item_id)
+                self.texts.append(tuple([self.term_ids.setdefault(w, len(self.term_ids)) for w in side] for side in sides))
         counts = [Counter(q + a) for q, a in self.texts]
-        frequency = Counter(t for c in counts for t in c)
-        average = sum(sum(c.values()) for c in counts) / max(1, len(counts))
+        inverse = [math.log(1 + (counted.parts - n + 0.5) / (n + 0.5)) for n in (counted.frequency[w] for w in self.term_ids)]
+        average = counted.words / max(1, counted.parts)
         self.weights: list[dict[int, float]] = []
         for c in counts:
             length = K1 * (1 - B + B * sum(c.values()) / average)
-            own = {
-                t: math.log(1 + (len(counts) - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1) / (n + length)
-                for t, n in c.items()
-            }
+            own = {t: inverse[t] * n * (K1 + 1) / (n + length) for t, n in c.items()}
             total = sum(own.values())
             self.weights.append({t: w / total for t, w in own.items()})
         entries: dict[int, list] = defaultdict(list)
@@ -239,23 +267,61 @@ class Matcher:
 
 
 def _best(hits: list[tuple]) -> list[tuple]:
-    """One hit for each item, the one with the highest score; by item."""
+    """One hit for each item, the one with the highest score; by item, null last."""
     best: dict = {}
     for hit in sorted(hits, key=lambda h: h[1:]):
         best[hit[0]] = hit
-    return [best[k] for k in sorted(best)]
+    return [best[k] for k in sorted(best, key=_item_order)]
+
+
+def _item_order(item_id: int | None) -> tuple[bool, int]:
+    return item_id is None, item_id or 0
+
+
+def _with_terms(items: DataFrame) -> DataFrame:
+    """``shard``, ``kind`` and ``term`` with ``n``: parts that hold a term ('t'), parts ('p') and words ('w'), per slice of the items."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: dict[int, list[str]] = defaultdict(list)
+            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist()):
+                texts[shard].append(text)
+            for shard, own in texts.items():
+                found = statistics_of(own)
+                rows = [("p", "", found.parts), ("w", "", found.words), *(("t", w, n) for w, n in found.frequency.items())]
+                kinds, terms, counts = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([shard] * len(rows), pa.int64()), pa.array(kinds), pa.array(terms, pa.string()), pa.array(counts, pa.int64())],
+                    ["shard", "kind", "term", "n"],
+                )
+
+    return items.select("shard", "text").mapInArrow(count, "shard long, kind string, term string, n long")
 
 
 def index_shards(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
-    """Indexes over the items, each of about ``shard_bytes`` bytes of text; items without words are left out."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
-        F.col("item_id").isNotNull() & F.col("text").rlike(r"\w")
-    ).distinct()
+    """Indexes over the items, each of about ``shard_bytes`` bytes of text; items without words are left out.
+
+    Terms are counted over the whole benchmark; each shard gets the counts of its own terms.  Items
+    with a null id are searched like others and count as one item, whose id is null.
+    """
+    prepare(benchmark.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").rlike(r"\w")).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // shard_bytes)
+    if not shards:
+        return
+    items = stored(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
+    terms = stored(_with_terms(items).groupBy("shard", "kind", "term").agg(F.sum("n").alias("n")), "terms")
+    totals = {r["kind"]: r["n"] for r in terms.where("kind <> 't'").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    frequency = terms.where("kind = 't'").groupBy("term").agg(F.sum("n").alias("n"))
+    of_shards = stored(terms.where("kind = 't'").select("shard", "term").join(frequency, "term"), "frequencies")
     for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
-        yield Index(sorted((r["item_id"], r["text"]) for r in rows))
+        rows = items.where(F.col("shard") == k).collect()
+        if not rows:
+            continue
+        own = {r["term"]: r["n"] for r in of_shards.where(F.col("shard") == k).collect()}
+        texts = sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (_item_order(x[0]), x[1]))
+        yield Index(texts, Statistics(totals.get("p", 0), totals.get("w", 0), own))
 
 
 def _matching(docs: DataFrame, index: Index, keep_clean: bool) -> DataFrame:
@@ -284,7 +350,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, shard_bytes: int =
     """doc_id and ``hits`` (item_id, score and overlaps of each test item found), per row of ``docs``.
 
     Null and empty texts have no hits; nor has any text if the benchmark is empty.  Items with
-    equal text are all reported.  Repeated rows and null doc_ids stay; other columns are ignored.
+    equal text are all reported; those with a null id are reported once, with a null item_id.  Repeated rows and null doc_ids stay; other columns are ignored.
     """
     prepare(docs.sparkSession)
     rows = docs.select(
