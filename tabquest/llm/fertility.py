@@ -195,8 +195,7 @@ def judge(docs: DataFrame, vocabulary_file: str) -> DataFrame:
 
     ``base_failed``: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT percent of them in
     repeated windows.  ``kept``: not that, and all measures within the bands of the group's documents
-that are about as long.  A null
-    text has no words and fails.  Repeated rows and null doc_ids stay; an empty table gives no
+    that are about as long.  A null text has no words and fails.  Repeated rows and null doc_ids stay; an empty table gives no
     rows; columns other than doc_id, text and lang are ignored.
     """
     measured = stored(measures(docs, vocabulary_file), "measures")

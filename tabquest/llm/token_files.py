@@ -156,7 +156,11 @@ _BLOCK_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int6
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of the files at ``path``: doc_id, start (ids before it), n_tokens, ids (4 bytes each)."""
+    """Documents of the files at ``path``: doc_id, start (ids before it), n_tokens, ids (4 bytes each).
+
+    A text that was null or empty has the end id alone.  Repeated rows and null doc_ids come back as
+    they were written; files of an empty table give no rows.
+    """
     blocks = prepare(spark).read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     ranks = spark.read.schema("rank long, id long, n long").parquet(f"{path}/ranks").select("rank", "id").collect()
     id_of = np.zeros(len(ranks), "<u4")
