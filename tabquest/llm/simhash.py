@@ -37,6 +37,8 @@ _CHUNK_ROWS = 200_000
 # Least hashes that make up a band, and bands of a text, for comparison by similarity.
 BAND_HASHES = 4
 BANDS = 20
+# Bits in which fingerprints of texts with that similarity may differ: 9.7 are expected at 0.8.
+SIMILAR_RADIUS = 26
 
 
 def shingle_hashes(texts: pa.Array, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -341,10 +343,15 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray, seed: int) -> list[np.ndar
 
 
 def _shingled(rows: DataFrame, words: int, seed: int, what: str) -> DataFrame:
-    """``rows`` with ``fingerprint`` in place of ``text``, a hash of its words, and ``what``: its bands or its distinct shingles."""
+    """``rows`` with ``fingerprint`` in place of ``text``, a hash of its words, and ``what``.
+
+    ``what`` is "bands", or "shingles": the distinct ones, and ``bits``, their SimHash fingerprint.
+    """
     prepare(rows.sparkSession)
     others = [c for c in rows.columns if c != "text"]
     schema = StructType([rows.schema[c] for c in others]).add("fingerprint", "long").add(what, ArrayType(LongType()))
+    if what == "shingles":
+        schema = schema.add("bits", "long")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -364,7 +371,9 @@ def _shingled(rows: DataFrame, words: int, seed: int, what: str) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
                 columns = [*(batch.column(c) for c in others), pa.array(prints.view(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(columns, [*others, "fingerprint", what])
+                if what == "shingles":
+                    columns.append(pa.array(fingerprints(values, sizes).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(compute, schema)
 
@@ -377,31 +386,168 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return pairs.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
+def rare_cells(sets: DataFrame, similarity: float) -> DataFrame:
+    """Each text once for each ``cell``, a rare shingle by which similar texts find each other.
+
+    Shingles are ordered by how many of the texts have them, rarest first, those of one text alone
+    before all.  Two texts of ``size`` m and n of that similarity s have at least s / (1 + s) * (m + n) of
+    them in common, so the first one that they share stands at a ``place`` with at least as many from
+    there on in both; that is among the first (1 - s) * size + 1, and in the smaller text (``early``)
+    among the first (1 - s) / (1 + s) * size + 1.
+    """
+    spread = sets.select("fingerprint", "bits", F.size("shingles").alias("size"), F.explode("shingles").alias("cell"))
+    shared = spread.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    rare = F.array_sort(F.collect_list(F.struct("n", "cell")))
+    texts = spread.join(shared, "cell").groupBy("fingerprint", "bits", "size").agg(rare.alias("rare"))
+    own = F.col("size") - F.size("rare")
+
+    def reach(share: float) -> Column:
+        return F.col("size") - F.ceil(share * F.col("size") - 1e-6) + 1
+
+    texts = texts.withColumns({"own": own, "reach": reach(similarity).cast("int")}).where("reach > own")
+    placed = texts.select(
+        "fingerprint", "bits", "size", "own", F.posexplode(F.slice("rare", F.lit(1), F.col("reach") - F.col("own"))).alias("at", "r")
+    )
+    place = F.col("own") + F.col("at")
+    return placed.select(
+        F.col("r.cell").alias("cell"), "fingerprint", "bits", "size", place.alias("place"),
+        (place < reach(2 * similarity / (1 + similarity))).alias("early"),
+    )
+
+
+def _possible(a: tuple, b: tuple, similarity: float) -> np.ndarray:
+    """Which rows of ``a`` and ``b`` are of different groups and may be similar, by their sizes and places."""
+    (roots, sizes, places), (other_roots, other_sizes, other_places) = a[2:], b[2:]
+    least = similarity / (1 + similarity) * (sizes + other_sizes) - 1e-6
+    return (roots != other_roots) & (np.minimum(sizes - places, other_sizes - other_places) >= least)
+
+
+def _taken(rows: tuple, which) -> tuple:
+    return tuple(x[which] for x in rows)
+
+
+def square_pairs(a: tuple, b: tuple | None, similarity: float, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a tile with another, or within one (``b`` None): fingerprints within ``radius`` bits that may be similar.
+
+    A tile is bits, ids, roots, sizes and places.
+    """
+    a = _taken(a, np.argsort(np.bitwise_count(a[0]), kind="stable"))
+    both = a if b is None else _taken(b, np.argsort(np.bitwise_count(b[0]), kind="stable"))
+    for i in range(0, len(a[0]), _SQUARE):
+        x = _taken(a, slice(i, i + _SQUARE))
+        low, high = int(np.bitwise_count(x[0][0])), int(np.bitwise_count(x[0][-1]))
+        for j in range(i if b is None else 0, len(both[0]), _SQUARE):
+            y = _taken(both, slice(j, j + _SQUARE))
+            if int(np.bitwise_count(y[0][0])) - high > radius or low - int(np.bitwise_count(y[0][-1])) > radius:
+                continue
+            left, right = _near(x[0], y[0], radius)
+            if b is None and i == j:
+                left, right = left[left < right], right[left < right]
+            left, right = _taken(x, left), _taken(y, right)
+            found = _possible(left, right, similarity)
+            yield left[1][found], right[1][found]
+
+
+def small_cell_pairs(cells: np.ndarray, rows: tuple, similarity: float, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many small cells at once; rows are ordered by cell."""
+    at = np.arange(len(cells))
+    shift = 1
+    while True:
+        at = at[: np.searchsorted(at, len(cells) - shift)]
+        at = at[cells[at] == cells[at + shift]]
+        if not len(at):
+            return
+        near = at[np.bitwise_count(rows[0][at] ^ rows[0][at + shift]) <= radius]
+        left, right = _taken(rows, near), _taken(rows, near + shift)
+        found = _possible(left, right, similarity)
+        yield left[1][found], right[1][found]
+        shift += 1
+
+
+def _cell_pairs(keys: np.ndarray, second: np.ndarray, rows: tuple, similarity: float, radius: int):
+    """Pairs of whole cells and tile pairs."""
+    heads = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    sizes = np.diff(heads, append=len(keys))
+    small = np.repeat(sizes <= _SMALL_CELL, sizes) & ~np.repeat(np.logical_or.reduceat(second, heads), sizes)
+    yield from small_cell_pairs(keys[small], _taken(rows, small), similarity, radius)
+    for head, size in zip(heads, sizes):
+        side = second[head : head + size]
+        if not small[head] and not side.all():
+            part = _taken(rows, slice(head, head + size))
+            yield from square_pairs(_taken(part, ~side), _taken(part, side) if side.any() else None, similarity, radius)
+
+
+def _compare_cells(similarity: float, radius: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            keys = table["task"].to_numpy()
+            cut = len(keys) if last else int(np.searchsorted(keys, keys[-1]))  # keys ascend; the last may go on
+            held[:] = table.slice(cut).combine_chunks().to_batches()
+            if cut:
+                table = table.slice(0, cut)
+                columns = [table[c].to_numpy() for c in ("bits", "fingerprint", "root", "size", "place")]
+                rows = (columns[0].view(np.uint64), *columns[1:])
+                for left, right in _cell_pairs(keys[:cut], table["second"].to_numpy(), rows, similarity, radius):
+                    if len(left):
+                        ends = (np.minimum(left, right), np.maximum(left, right))
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= _CHUNK_ROWS:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return compare
+
+
+def candidate_pairs(cells: DataFrame, similarity: float, radius: int = SIMILAR_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Pairs ``a``, ``b`` of a cell that are in different groups (``root``) and may be similar.
+
+    Cells without an ``early`` text or with texts of one group alone need no comparison.  Fingerprints
+    within ``radius`` bits are found by tiles; a crowded cell is dealt out as pairs of tiles.
+    """
+    per = cells.groupBy("cell").agg(
+        F.ceil(F.count("*") / tile_rows).alias("tiles"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("early").alias("any")
+    )
+    rows = cells.join(per.where("low < high AND any").select("cell", "tiles"), "cell")
+    mine = F.pmod(F.hash("fingerprint").cast("long"), "tiles")
+    tasks = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
+        lambda o: F.struct(F.xxhash64("cell", F.least(mine, o), F.greatest(mine, o)).alias("task"), (mine > o).alias("second")),
+    )
+    dealt = rows.select("fingerprint", "bits", "root", "size", "place", F.inline(tasks))
+    dealt = dealt.repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(_compare_cells(similarity, radius), "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
     """``fingerprint`` and ``root``, one of its group, for fingerprints that are not their own root.
 
-    Texts that share a band are compared: all with the band's first, then those that are not in its
-    group so far with all of the band that are in other groups.  So any two that share a band and are
-    similar end up in one group, and a band of near copies takes about as many comparisons as it has texts.
+    Texts that share a band with another are compared, first with one of the band, which puts families
+    of near copies together in about as many comparisons as they have texts; then, across the groups so
+    far, those that share a rare shingle (``rare_cells``) and whose SimHash fingerprints are within
+    SIMILAR_RADIUS bits.  What is found is confirmed by all shingles.
     """
     distinct = prints.groupBy("fingerprint").agg(F.first("bands").alias("bands"))
     members = distinct.select("fingerprint", F.explode("bands").alias("band"))
     firsts = members.groupBy("band").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("z")).where("a < z").drop("z")
-    members = stored(members.join(firsts, "band").select("band", "a", F.col("fingerprint").alias("b")), "members")
+    members = stored(members.join(firsts, "band").select("a", F.col("fingerprint").alias("b")).distinct(), "members")
     wanted = members.select(F.col("b").alias("fingerprint")).distinct()
     keys = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check")).alias("key"))
     texts = _rows_with(docs, stored(keys.join(wanted, "fingerprint", "left_semi").select("key.*"), "keys"))
-    sets = stored(_shingled(_keyed(texts), words, seed, "shingles").select("fingerprint", "shingles").dropDuplicates(["fingerprint"]), "sets")
-    links = stored(_confirmed(members.where("a <> b").select("a", "b").distinct(), sets, similarity), "first-links")
-    roots = stored(components(links), "roots")
-    for side in ("a", "b"):
-        found = roots.select(F.col("node").alias(side), F.col("root").alias("found"))
-        members = members.join(found, side, "left").withColumn(f"{side}_root", F.coalesce("found", side)).drop("found")
-    members = stored(members, "rooted")
-    rest = members.where("a_root <> b_root").select("band", F.col("b").alias("a"), F.col("b_root").alias("a_root"))
-    pairs = rest.join(members.select("band", "b", "b_root"), "band").where("a_root <> b_root")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    further = _confirmed(pairs.distinct(), sets, similarity)
+    sets = _shingled(_keyed(texts), words, seed, "shingles").select("fingerprint", "shingles", "bits")
+    sets = stored(sets.dropDuplicates(["fingerprint"]), "sets")
+    links = stored(_confirmed(members.where("a <> b"), sets, similarity), "first-links")
+    roots = components(links).select(F.col("node").alias("fingerprint"), "root")
+    cells = rare_cells(sets, similarity).join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    pairs = stored(candidate_pairs(stored(cells, "cells"), similarity), "pairs")
+    further = _confirmed(pairs, sets, similarity)
     return components(links.unionByName(further)).select(F.col("node").alias("fingerprint"), "root")
 
 
@@ -410,7 +556,8 @@ def keep_one_of_similar(docs: DataFrame, shingle_words: int = 5, similarity: flo
 
     Which row stays and how nulls and repeats count is as in ``keep_one_of_each``.  Similarity is
     exact; two texts of similarity s are compared unless all bands differ, which happens with
-    probability (1 - s ** BAND_HASHES) ** BANDS: 0.00003 at 0.8.
+    probability (1 - s ** BAND_HASHES) ** BANDS: 0.00003 at 0.8, or their fingerprints differ in more
+    than SIMILAR_RADIUS bits (README).
     """
     prints = stored(_shingled(_keyed(docs), shingle_words, seed, "bands"), "prints")
     return _first_of_each(docs, prints.drop("bands"), similar_groups(docs, prints, shingle_words, similarity, seed))

@@ -5,14 +5,16 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from llm_helpers import SF_DIR, rows_of
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
 
-from tabquest.llm import language, pii  # noqa: E402
+from tabquest.llm import language, pii, simhash  # noqa: E402
 from tabquest.llm.shared import stored  # noqa: E402
 
 
@@ -90,6 +92,62 @@ def test_near_copies_are_those_of_similar_shingles(spark, given):
     assert ids(found) == smallest_of_similar(rows)
 
 
+def test_texts_of_one_template_are_not_compared_with_each_other(spark, monkeypatch):
+    """2,000 texts of one template, similarities about 0.7, and 20 that differ from one of them in a word."""
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(120)]
+    texts = [" ".join(template + [f"own{i}x{j}" for j in range(25)]) for i in range(2000)]
+    near = [" ".join([*t.split()[:-1], "other"]) for t in rng.sample(texts, 20)]
+    rows = list(enumerate(texts + near))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = stored(simhash._shingled(simhash._keyed(docs), 5, 42, "shingles"), "prints").withColumn("root", F.col("fingerprint"))
+    cells = stored(simhash.rare_cells(prints, 0.8).join(prints.select("fingerprint", "root"), "fingerprint"), "cells")
+    per = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("early").alias("any")).where("any")
+    compared = per.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+    assert compared < 20 * len(rows)
+    found = rows_of(simhash.candidate_pairs(cells, 0.8))
+    assert len({(r["a"], r["b"]) for r in found}) == 20
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, SF_DIR)
+    assert ids(kept) == list(range(2000))
+
+
+@pytest.mark.parametrize("tile_rows", [3, 4096])
+def test_candidates_hold_every_similar_pair(spark, tile_rows):
+    """Random sets of shingles: crowded cells in tiles, every pair of different groups and similarity 0.8 is a candidate."""
+    rng = random.Random(9)
+    sets = []
+    for _ in range(12):
+        base = [rng.getrandbits(62) for _ in range(rng.randint(5, 60))]
+        for _ in range(30):
+            kept = [h for h in base if rng.random() > 0.08]
+            sets.append(frozenset(kept + [rng.getrandbits(62) for _ in range(rng.randint(0, 4))]))
+    sets = sorted(set(s for s in sets if s), key=sorted)
+    rows = []
+    for i, s in enumerate(sets):
+        values = np.array(sorted(s), np.uint64)
+        bits = simhash.fingerprints(values, np.array([len(values)])).view(np.int64)
+        rows.append((i, [int(v) for v in values], int(bits[0]), i // 2))
+    table = spark.createDataFrame(rows, "fingerprint long, shingles array<long>, bits long, root long")
+    cells = simhash.rare_cells(table, 0.8).join(table.select("fingerprint", "root"), "fingerprint")
+    found = {(r["a"], r["b"]) for r in rows_of(simhash.candidate_pairs(cells, 0.8, tile_rows=tile_rows))}
+    expected = {
+        (a, b) for a, b in itertools.combinations(range(len(sets)), 2)
+        if a // 2 != b // 2 and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    }
+    assert len(expected) > 100 and expected <= found
+
+
+def test_tile_pairs_far_apart_in_bits_are_skipped(monkeypatch):
+    compared = []
+    monkeypatch.setattr(simhash, "_SQUARE", 8)
+    monkeypatch.setattr(simhash, "_near", lambda a, b, r: compared.append((len(a), len(b))) or (np.zeros(0, int), np.zeros(0, int)))
+    few = np.array([1 << i for i in range(8)], np.uint64)
+    bits = np.concatenate([few, ~few])
+    ids_ = np.arange(16)
+    assert all(not len(a) for a, _ in simhash.square_pairs((bits, ids_, ids_, ids_ + 9, ids_ * 0), None, 0.8, 26))
+    assert len(compared) == 2  # each tile with itself, not with the other
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_with_odd_documents(spark, given, odd_docs, no_docs, k):
     name, stage = corpus_pipeline.STAGES[k]
