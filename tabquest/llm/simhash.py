@@ -39,6 +39,9 @@ BAND_HASHES = 4
 BANDS = 20
 # Bits in which fingerprints of texts with that similarity may differ: 9.7 are expected at 0.8.
 SIMILAR_RADIUS = 26
+# Bits of the parities of a set of shingles, and pairs whose parities are compared at once.
+PARITY_BITS = 1024
+_PARITY_PAIRS = 65_536
 
 
 def shingle_hashes(texts: pa.Array, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -342,16 +345,28 @@ def band_keys(hashes: np.ndarray, counts: np.ndarray, seed: int) -> list[np.ndar
     return keys
 
 
+def parities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set of hashes PARITY_BITS bits: whether an odd number of them falls to the bit.
+
+    Each hash that only one of two sets has changes one bit, so two sets differ in at least as many
+    hashes as in bits.
+    """
+    owner = np.repeat(np.arange(len(counts)), counts)
+    places = (hashes >> np.uint64(40)).astype(np.int64) % PARITY_BITS
+    odd = np.bincount(owner * PARITY_BITS + places, minlength=len(counts) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, PARITY_BITS), axis=1)
+
+
 def _shingled(rows: DataFrame, words: int, seed: int, what: str) -> DataFrame:
     """``rows`` with ``fingerprint`` in place of ``text``, a hash of its words, and ``what``.
 
-    ``what`` is "bands", or "shingles": the distinct ones, and ``bits``, their SimHash fingerprint.
+    ``what`` is "bands", or "shingles": the distinct ones, ``bits``, their SimHash fingerprint, and ``parity``.
     """
     prepare(rows.sparkSession)
     others = [c for c in rows.columns if c != "text"]
     schema = StructType([rows.schema[c] for c in others]).add("fingerprint", "long").add(what, ArrayType(LongType()))
     if what == "shingles":
-        schema = schema.add("bits", "long")
+        schema = schema.add("bits", "long").add("parity", "binary")
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -373,6 +388,7 @@ def _shingled(rows: DataFrame, words: int, seed: int, what: str) -> DataFrame:
                 columns = [*(batch.column(c) for c in others), pa.array(prints.view(np.int64)), lists]
                 if what == "shingles":
                     columns.append(pa.array(fingerprints(values, sizes).view(np.int64)))
+                    columns.append(pa.array([p.tobytes() for p in parities(values, sizes)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return rows.mapInArrow(compute, schema)
@@ -415,21 +431,24 @@ def rare_cells(sets: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _possible(a: tuple, b: tuple, similarity: float) -> np.ndarray:
-    """Which rows of ``a`` and ``b`` are of different groups and may be similar, by their sizes and places."""
-    (roots, sizes, places), (other_roots, other_sizes, other_places) = a[2:], b[2:]
+def _similar_rows(a: tuple, b: tuple, similarity: float) -> tuple:
+    """Rows of ``a`` and of ``b``, side by side, that are of different groups and may be similar, by their sizes, places and parities."""
+    (roots, sizes, places, odd), (other_roots, other_sizes, other_places, other_odd) = a[2:], b[2:]
     least = similarity / (1 + similarity) * (sizes + other_sizes) - 1e-6
-    return (roots != other_roots) & (np.minimum(sizes - places, other_sizes - other_places) >= least)
+    found = np.flatnonzero((roots != other_roots) & (np.minimum(sizes - places, other_sizes - other_places) >= least))
+    most = (1 - similarity) / (1 + similarity) * (sizes + other_sizes) + 1e-6
+    found = found[np.bitwise_count(odd[found] ^ other_odd[found]).sum(axis=1, dtype=np.int64) <= most[found]]
+    return a[1][found], b[1][found], roots[found], other_roots[found]
 
 
 def _taken(rows: tuple, which) -> tuple:
     return tuple(x[which] for x in rows)
 
 
-def square_pairs(a: tuple, b: tuple | None, similarity: float, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def square_pairs(a: tuple, b: tuple | None, similarity: float, radius: int) -> Iterator[tuple]:
     """Pairs of a tile with another, or within one (``b`` None): fingerprints within ``radius`` bits that may be similar.
 
-    A tile is bits, ids, roots, sizes and places.
+    A tile is bits, ids, roots, sizes, places and parities; so are the two sides of the pairs.
     """
     a = _taken(a, np.argsort(np.bitwise_count(a[0]), kind="stable"))
     both = a if b is None else _taken(b, np.argsort(np.bitwise_count(b[0]), kind="stable"))
@@ -443,12 +462,12 @@ def square_pairs(a: tuple, b: tuple | None, similarity: float, radius: int) -> I
             left, right = _near(x[0], y[0], radius)
             if b is None and i == j:
                 left, right = left[left < right], right[left < right]
-            left, right = _taken(x, left), _taken(y, right)
-            found = _possible(left, right, similarity)
-            yield left[1][found], right[1][found]
+            for first in range(0, len(left), _PARITY_PAIRS):
+                part = slice(first, first + _PARITY_PAIRS)
+                yield _similar_rows(_taken(x, left[part]), _taken(y, right[part]), similarity)
 
 
-def small_cell_pairs(cells: np.ndarray, rows: tuple, similarity: float, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def small_cell_pairs(cells: np.ndarray, rows: tuple, similarity: float, radius: int) -> Iterator[tuple]:
     """The same for many small cells at once; rows are ordered by cell."""
     at = np.arange(len(cells))
     shift = 1
@@ -458,9 +477,7 @@ def small_cell_pairs(cells: np.ndarray, rows: tuple, similarity: float, radius:
         if not len(at):
             return
         near = at[np.bitwise_count(rows[0][at] ^ rows[0][at + shift]) <= radius]
-        left, right = _taken(rows, near), _taken(rows, near + shift)
-        found = _possible(left, right, similarity)
-        yield left[1][found], right[1][found]
+        yield _similar_rows(_taken(rows, near), _taken(rows, near + shift), similarity)
         shift += 1
 
 
@@ -477,7 +494,14 @@ def _cell_pairs(keys: np.ndarray, second: np.ndarray, rows: tuple, similarity: f
             yield from square_pairs(_taken(part, ~side), _taken(part, side) if side.any() else None, similarity, radius)
 
 
-def _compare_cells(similarity: float, radius: int):
+def _one_for_each(left: np.ndarray, right: np.ndarray, roots: np.ndarray, other_roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of the pairs between any two groups."""
+    ends = np.stack([np.minimum(roots, other_roots), np.maximum(roots, other_roots)], axis=1)
+    first = np.unique(ends, axis=0, return_index=True)[1]
+    return left[first], right[first]
+
+
+def _compare_cells(similarity: float, radius: int, one_each: bool):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -489,9 +513,12 @@ def _compare_cells(similarity: float, radius: int):
             if cut:
                 table = table.slice(0, cut)
                 columns = [table[c].to_numpy() for c in ("bits", "fingerprint", "root", "size", "place")]
-                rows = (columns[0].view(np.uint64), *columns[1:])
-                for left, right in _cell_pairs(keys[:cut], table["second"].to_numpy(), rows, similarity, radius):
+                odd = np.frombuffer(b"".join(table["parity"].to_pylist()), np.uint64).reshape(cut, -1)
+                rows = (columns[0].view(np.uint64), *columns[1:], odd)
+                for left, right, *roots in _cell_pairs(keys[:cut], table["second"].to_numpy(), rows, similarity, radius):
                     if len(left):
+                        if one_each:
+                            left, right = _one_for_each(left, right, *roots)
                         ends = (np.minimum(left, right), np.maximum(left, right))
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
 
@@ -506,24 +533,29 @@ def _compare_cells(similarity: float, radius: int):
     return compare
 
 
-def candidate_pairs(cells: DataFrame, similarity: float, radius: int = SIMILAR_RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def candidate_pairs(
+    cells: DataFrame, sets: DataFrame, similarity: float, one_each: bool = False,
+    radius: int = SIMILAR_RADIUS, tile_rows: int = TILE_ROWS,
+) -> DataFrame:
     """Pairs ``a``, ``b`` of a cell that are in different groups (``root``) and may be similar.
 
     Cells without an ``early`` text or with texts of one group alone need no comparison.  Fingerprints
-    within ``radius`` bits are found by tiles; a crowded cell is dealt out as pairs of tiles.
+    within ``radius`` bits are found by tiles; a crowded cell is dealt out as pairs of tiles.  With
+    ``one_each`` a comparison of tiles reports one pair between any two groups.
     """
     per = cells.groupBy("cell").agg(
         F.ceil(F.count("*") / tile_rows).alias("tiles"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("early").alias("any")
     )
     rows = cells.join(per.where("low < high AND any").select("cell", "tiles"), "cell")
+    rows = rows.join(sets.select("fingerprint", "parity"), "fingerprint")
     mine = F.pmod(F.hash("fingerprint").cast("long"), "tiles")
     tasks = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
         lambda o: F.struct(F.xxhash64("cell", F.least(mine, o), F.greatest(mine, o)).alias("task"), (mine > o).alias("second")),
     )
-    dealt = rows.select("fingerprint", "bits", "root", "size", "place", F.inline(tasks))
+    dealt = rows.select("fingerprint", "bits", "root", "size", "place", "parity", F.inline(tasks))
     dealt = dealt.repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(_compare_cells(similarity, radius), "a long, b long").distinct()
+    return dealt.mapInArrow(_compare_cells(similarity, radius, one_each), "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
@@ -532,7 +564,8 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
     Texts that share a band with another are compared, first with one of the band, which puts families
     of near copies together in about as many comparisons as they have texts; then, across the groups so
     far, those that share a rare shingle (``rare_cells``) and whose SimHash fingerprints are within
-    SIMILAR_RADIUS bits.  What is found is confirmed by all shingles.
+    SIMILAR_RADIUS bits: one pair between any two groups, which joins most groups that belong together,
+    then all that are left.  What is found is confirmed by all shingles.
     """
     distinct = prints.groupBy("fingerprint").agg(F.first("bands").alias("bands"))
     members = distinct.select("fingerprint", F.explode("bands").alias("band"))
@@ -541,14 +574,16 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
     wanted = members.select(F.col("b").alias("fingerprint")).distinct()
     keys = prints.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "check")).alias("key"))
     texts = _rows_with(docs, stored(keys.join(wanted, "fingerprint", "left_semi").select("key.*"), "keys"))
-    sets = _shingled(_keyed(texts), words, seed, "shingles").select("fingerprint", "shingles", "bits")
+    sets = _shingled(_keyed(texts), words, seed, "shingles").select("fingerprint", "shingles", "bits", "parity")
     sets = stored(sets.dropDuplicates(["fingerprint"]), "sets")
     links = stored(_confirmed(members.where("a <> b"), sets, similarity), "first-links")
-    roots = components(links).select(F.col("node").alias("fingerprint"), "root")
-    cells = rare_cells(sets, similarity).join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    pairs = stored(candidate_pairs(stored(cells, "cells"), similarity), "pairs")
-    further = _confirmed(pairs, sets, similarity)
-    return components(links.unionByName(further)).select(F.col("node").alias("fingerprint"), "root")
+    cells = stored(rare_cells(sets, similarity), "cells")
+    for one_each in (True, False):
+        roots = stored(components(links).select(F.col("node").alias("fingerprint"), "root"), "roots")
+        placed = cells.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+        pairs = stored(candidate_pairs(placed, sets, similarity, one_each), "pairs")
+        links = stored(links.unionByName(_confirmed(pairs, sets, similarity)), "further-links")
+    return components(links).select(F.col("node").alias("fingerprint"), "root")
 
 
 def keep_one_of_similar(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:

@@ -105,7 +105,7 @@ def test_texts_of_one_template_are_not_compared_with_each_other(spark, monkeypat
     per = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("early").alias("any")).where("any")
     compared = per.agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
     assert compared < 20 * len(rows)
-    found = rows_of(simhash.candidate_pairs(cells, 0.8))
+    found = rows_of(simhash.candidate_pairs(cells, prints, 0.8))
     assert len({(r["a"], r["b"]) for r in found}) == 20
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, SF_DIR)
     assert ids(kept) == list(range(2000))
@@ -126,15 +126,20 @@ def test_candidates_hold_every_similar_pair(spark, tile_rows):
     for i, s in enumerate(sets):
         values = np.array(sorted(s), np.uint64)
         bits = simhash.fingerprints(values, np.array([len(values)])).view(np.int64)
-        rows.append((i, [int(v) for v in values], int(bits[0]), i // 2))
-    table = spark.createDataFrame(rows, "fingerprint long, shingles array<long>, bits long, root long")
+        odd = simhash.parities(values, np.array([len(values)]))
+        rows.append((i, [int(v) for v in values], int(bits[0]), odd.tobytes(), i // 2))
+    table = spark.createDataFrame(rows, "fingerprint long, shingles array<long>, bits long, parity binary, root long")
     cells = simhash.rare_cells(table, 0.8).join(table.select("fingerprint", "root"), "fingerprint")
-    found = {(r["a"], r["b"]) for r in rows_of(simhash.candidate_pairs(cells, 0.8, tile_rows=tile_rows))}
+    found = {(r["a"], r["b"]) for r in rows_of(simhash.candidate_pairs(cells, table, 0.8, tile_rows=tile_rows))}
     expected = {
         (a, b) for a, b in itertools.combinations(range(len(sets)), 2)
         if a // 2 != b // 2 and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
     }
     assert len(expected) > 100 and expected <= found
+    differ = [len(sets[a] ^ sets[b]) / (len(sets[a]) + len(sets[b])) for a, b in found]
+    assert sum(d > 0.15 for d in differ) < len(found) / 100  # similarity 0.74: parities tell them from 0.8
+    one = {(r["a"], r["b"]) for r in rows_of(simhash.candidate_pairs(cells, table, 0.8, True, tile_rows=tile_rows))}
+    assert one <= found and {(a // 2, b // 2) for a, b in one} == {(a // 2, b // 2) for a, b in found}
 
 
 def test_tile_pairs_far_apart_in_bits_are_skipped(monkeypatch):
@@ -144,7 +149,7 @@ def test_tile_pairs_far_apart_in_bits_are_skipped(monkeypatch):
     few = np.array([1 << i for i in range(8)], np.uint64)
     bits = np.concatenate([few, ~few])
     ids_ = np.arange(16)
-    assert all(not len(a) for a, _ in simhash.square_pairs((bits, ids_, ids_, ids_ + 9, ids_ * 0), None, 0.8, 26))
+    assert all(not len(a) for a, *_ in simhash.square_pairs((bits, ids_, ids_, ids_ + 9, ids_ * 0, np.zeros((16, 16), np.uint64)), None, 0.8, 26))
     assert len(compared) == 2  # each tile with itself, not with the other
 
 
