@@ -9,23 +9,33 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabquest.session import spread
+
 SAMPLES = 100
 LEVEL = 0.95
 # A weight of w or more has a probability of the Poisson distribution of mean one; weights beyond the last are never drawn.
 POISSON_STEPS = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(w + 1)) for w in range(12))
 
 
-def poisson_weight(key: Column, sample: Column) -> Column:
-    """A Poisson weight of mean one from the first eight hexadecimal digits of ``md5(key:sample)``."""
-    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), sample.cast("string"))), 1, 8)
-    share = F.conv(digits, 16, 10).cast("double") / 4294967296.0
-    weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + (share >= step).cast("int")
-    return weight
+def drawn_digits(key: Column, sample: Column) -> Column:
+    """The first eight hexadecimal digits of ``md5(key:sample)``: a uniform draw of 32 bits."""
+    return F.substring(F.md5(F.concat_ws(":", key.cast("string"), sample.cast("string"))), 1, 8)
+
+
+def poisson_weight(digits: Column) -> Column:
+    """A Poisson weight of mean one: how many steps the draw reaches.
+
+    Digits of one length sort like the numbers they stand for, so a step is compared as text, and the
+    first one that is not reached ends the search.  Pass a column: an expression would be worked out per step.
+    """
+    reached = [math.ceil(step * 2**32) for step in POISSON_STEPS]  # exact: a power of two only moves the point
+    weight = F
+    for w, least in enumerate(r for r in reached if r < 2**32):
+        weight = weight.when(digits < f"{least:08x}", w)
+    return weight.otherwise(sum(r < 2**32 for r in reached))
 
 
 def run_hits(runs: DataFrame) -> DataFrame:
@@ -60,9 +70,8 @@ def evaluate(runs: DataFrame, samples: int = SAMPLES, level: float = LEVEL) -> D
     hits = run_hits(runs)
     metrics = [c for c in hits.columns if c != "key"]
     every = F.explode(F.sequence(F.lit(0), F.lit(samples)))  # sample 0 weighs each run once
-    weighted = hits.select("*", every.alias("sample")).withColumn(
-        "w", F.when(F.col("sample") == 0, 1).otherwise(poisson_weight(F.col("key"), F.col("sample")))
-    )
+    drawn = spread(hits).select("*", every.alias("sample")).withColumn("digits", drawn_digits(F.col("key"), F.col("sample")))
+    weighted = drawn.withColumn("w", F.when(F.col("sample") == 0, 1).otherwise(poisson_weight(F.col("digits"))))
     sums = []
     for m in metrics:
         sums += [F.sum(F.col("w") * F.col(m)).alias(f"{m}_sum"), F.sum(F.when(F.col(m).isNotNull(), F.col("w"))).alias(f"{m}_n")]
@@ -70,12 +79,11 @@ def evaluate(runs: DataFrame, samples: int = SAMPLES, level: float = LEVEL) -> D
     rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_sum").alias("total"), F.coalesce(f"{m}_n", F.lit(0)).cast("long").alias("n")) for m in metrics])
     # One row per sample and metric from here on.
     means = per_sample.select("sample", F.inline(rows)).withColumn("mean", F.when(F.col("n") > 0, F.col("total") / F.col("n")))
-    window = Window.partitionBy("metric").orderBy("mean")
-    drawn = means.where("sample > 0 AND mean IS NOT NULL").withColumn("place", F.row_number().over(window))
-    drawn = drawn.withColumn("of", F.count("*").over(Window.partitionBy("metric")))
-    outside = F.floor(F.col("of") * ((1 - level) / 2) + 1e-9)
-    limits = drawn.groupBy("metric").agg(
-        F.max(F.when(F.col("place") == outside + 1, F.col("mean"))).alias("low"),
-        F.max(F.when(F.col("place") == F.col("of") - outside, F.col("mean"))).alias("high"),
+    # Both the estimate and the limits come from these rows, so that runs are read and drawn once.
+    drawn_means = F.sort_array(F.collect_list(F.when(F.col("sample") > 0, F.col("mean"))))
+    of_sample_0 = lambda c: F.max(F.when(F.col("sample") == 0, F.col(c)))
+    found = means.groupBy("metric").agg(of_sample_0("n").alias("n"), of_sample_0("mean").alias("estimate"), drawn_means.alias("drawn"))
+    outside = F.floor(F.size("drawn") * ((1 - level) / 2) + 1e-9).cast("int")
+    return found.select(
+        "metric", "n", "estimate", F.get("drawn", outside).alias("low"), F.get("drawn", F.size("drawn") - 1 - outside).alias("high")
     )
-    return means.where("sample = 0").join(limits, "metric", "left").select("metric", "n", F.col("mean").alias("estimate"), "low", "high")

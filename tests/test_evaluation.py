@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tabquest.operators.evaluation import evaluate
+from tabquest.operators.evaluation import POISSON_STEPS, evaluate, poisson_weight
 
 SCHEMA = "key string, expected_dataset string, ranked array<string>, expected_mode string, query_mode string, is_valid boolean, executed boolean, elapsed_ms double"
 
@@ -59,3 +59,18 @@ def test_no_runs_and_runs_without_anything(spark):
     found = {r["metric"]: r for r in evaluate(spark.createDataFrame([("k",) + (None,) * 7], SCHEMA), samples=20).collect()}
     assert found["selection_accuracy"]["n"] == 0 and found["selection_accuracy"]["estimate"] is None
     assert found["validity_rate"]["n"] == 1 and found["validity_rate"]["estimate"] == 0
+
+
+def test_weights_at_the_borders_of_steps(spark):
+    draws = sorted({0, 2**32 - 1} | {min(max(math.ceil(s * 2**32) + d, 0), 2**32 - 1) for s in POISSON_STEPS for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(f"{u:08x}", sum(u / 2**32 >= s for s in POISSON_STEPS)) for u in draws], "digits string, expected int")
+    found = rows.select("digits", "expected", poisson_weight(rows["digits"]).alias("w"))
+    assert {r["digits"]: r["w"] for r in found.collect()} == {r["digits"]: r["expected"] for r in found.collect()}
+
+
+def test_runs_are_read_once_drawn_once_and_by_all_cores(spark, tmp_path):
+    spark.createDataFrame(rows(), SCHEMA).coalesce(1).write.parquet(str(tmp_path / "runs"))
+    found = evaluate(spark.read.parquet(str(tmp_path / "runs")), samples=20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("Relation [") == 1
+    assert f"Repartition {spark.sparkContext.defaultParallelism}, true" in plan
