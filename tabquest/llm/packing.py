@@ -27,8 +27,9 @@ from tabquest.llm.encoders import byte_encoder
 from tabquest.llm.shared import bounded, broadcast_file, documents_of, prepare, stored
 from tabquest.session import small_table
 
-# Bytes of text that a task encodes at once.
-SLICE_BYTES = 4_000_000
+# Bytes of text that a task encodes at once, and distinct pieces whose ids a worker keeps.
+SLICE_BYTES = 1_000_000
+KEPT_PIECES = 100_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, part int, place long"
 PLAN_SCHEMA = "length long, first_rank long, last_rank long, first_sequence long, per_sequence long, first_offset long"
 
@@ -45,7 +46,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity
     content = broadcast_file(spark, tokenizer_file)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_encoder(content.value)
+        encoder = byte_encoder(content.value, KEPT_PIECES)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far in this task
         for whole in batches:

@@ -1,6 +1,10 @@
 """Ids, token files and packing against the library, one document at a time."""
 
+import os
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +116,43 @@ def test_packing(given, odd_docs, tokenizers, capacity):
         assert used <= least * 1.03 + 2
 
 
+WORKER = """
+import random, resource, types
+import pyarrow as pa
+from tabquest.llm import packing
+from tabquest.llm.shared import tokenizer_path
+
+path = tokenizer_path("byte_bpe_50k.json")
+cuts = []
+docs = types.SimpleNamespace(sparkSession=None, mapInArrow=lambda cut, schema: cuts.append(cut))
+packing.prepare = lambda spark: spark
+packing.documents_of = lambda docs: docs
+packing.broadcast_file = lambda spark, path: types.SimpleNamespace(value=open(path, "rb").read())
+packing.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+packing.tokenised_pieces(docs, path, 0, 2048)
+
+draw = random.Random(3)
+def batches(sizes):
+    for n in sizes:
+        texts = [" ".join("%x" % draw.getrandbits(40) for _ in range(400)) for _ in range(n)]
+        yield pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": texts})
+
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+sum(b.num_rows for b in cuts[0](batches([10])))
+before = peak()
+sum(b.num_rows for b in cuts[0](batches([1000, 1000])))
+print(peak() - before)
+"""
+
+
+def test_packing_worker_memory():
+    """What a worker takes for many distinct words beyond its tokenizer; two batches of 4.4 MB here."""
+    root = str(Path(packing.__file__).resolve().parents[2])
+    env = os.environ | {"PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", WORKER], env=env, capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout) < 200
+
+
 def test_packing_of_no_documents(no_docs):
     assert packing.pack(no_docs, tokenizer_path("byte_bpe_50k.json")).count() == 0
 
